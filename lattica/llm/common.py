@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written as Parquet to the shared checkpoint folder and read again, and its path."""
+    spark = df.sparkSession
+    cut(spark.range(0))  # sees to the folder
+    path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path), path
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete what ``stored`` wrote."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """A broadcast hint if ``rows``, the counted size of ``df``, is within the bound; else the planner decides."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
@@ -67,3 +83,43 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+#: Rows under one key from which the key counts as hot, unless the caller gives another number.
+HOT_KEY = 64
+
+
+def bucket_links(index: DataFrame, probe: DataFrame, radius: int, verify=None, hot_rows: int = HOT_KEY) -> DataFrame:
+    """(a, b) of ids that share a key between ``index`` and ``probe`` (key, id, bits) and are alike.
+
+    Alike: their 64 ``bits`` differ in at most ``radius`` places and, if given, ``verify`` keeps the
+    pair (a function from a DataFrame (a, b) to one of its rows). Complete up to connectivity: every
+    alike pair under a key is a row, or both ids are connected by rows.
+
+    Bits are compared inside the join, so only near pairs leave it. Under a hot key all rows are first
+    linked to its smallest id only; after that, pairs that are already connected give no row, so large
+    groups of near copies never give all their pairs. Hot keys' join partitions can be split by AQE.
+    """
+    check = verify or (lambda pairs: pairs)
+    near = F.bit_count(F.col("abits").bitwiseXOR(F.col("bbits"))) <= radius
+    ours = index.select("key", F.col("id").alias("a"), F.col("bits").alias("abits"))
+    theirs = probe.select("key", F.col("id").alias("b"), F.col("bits").alias("bbits"))
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    hot = cut(
+        index.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "bits")).alias("c"))
+        .where(F.col("n") >= hot_rows).select("key", F.col("c.id").alias("a"), F.col("c.bits").alias("abits"))
+    )
+    n_hot = hot.count()
+    if not n_hot:
+        return check(ours.join(theirs, "key").where(near & (F.col("a") != F.col("b"))).select(*pair).distinct())
+    keys = small(hot.select("key"), n_hot)
+    thinned = ours.join(keys, "key", "left_anti").unionByName(hot)
+    first = cut(check(thinned.join(theirs, "key").where(near & (F.col("a") != F.col("b"))).select(*pair).distinct()))
+    comp = cut(connected_components(first))
+
+    def marked(rows: DataFrame, c: str) -> DataFrame:
+        mine = rows.join(keys, "key", "left_semi").join(comp.withColumnRenamed("node", c), c, "left")
+        return mine.withColumn(f"{c}comp", F.coalesce("component", c)).drop("component")
+
+    rest = marked(ours, "a").join(marked(theirs, "b"), "key").where(near & (F.col("a") != F.col("b")) & (F.col("acomp") != F.col("bcomp")))
+    return first.unionByName(check(rest.select(*pair).distinct()))

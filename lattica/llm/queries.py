@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, simhash
+from . import decontaminate, lines, mixing, quality, simhash, toxicity
 from .common import table
 
 
@@ -14,6 +14,26 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, lines, exact and near repeats dropped, and a digest of the kept text, of every document."""
+    found = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.col("_lines") - F.col("_exact") - F.col("_near")
+    return found.select("doc_id", F.col("_lines").alias("n_lines"), kept.alias("n_kept"), F.col("_exact").alias("n_exact"), F.col("_near").alias("n_near"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op5_quality_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, weight, gumbel_key, selected of every document."""
+    return quality.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.labelled_texts(docs, table(spark, sf_dir, "labels")))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return found.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op7_mixing_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document."""
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
@@ -27,6 +47,9 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_quality_importance": op5_quality_importance,
+    "op6_toxicity": op6_toxicity,
     "op7_mixing_to_target_weights": op7_mixing_to_target_weights,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
 }
