@@ -12,9 +12,8 @@ key finds the pair) or fall as 2+1+1 or 1+1+1, when two segments have one error
 two decoded segments finds it). The index side holds nearest codewords only, the probe side all
 keys. Every pair found is verified by its Hamming distance inside the join.
 
-Hot keys (many fingerprints under one key, as in large groups of near copies) are first linked to
-the smallest fingerprint under the key only; what that leaves unconnected is compared afterwards,
-and pairs already in one component produce no row.
+Keys that hold many fingerprints, as in large groups of near copies, are handled by
+:func:`lattica.llm.common.bucket_links` without giving all pairs of a group.
 """
 
 from __future__ import annotations
@@ -27,15 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, small
+from .common import HOT_KEY, bucket_links, connected_components, cut
 
 # The Golay code's generator polynomial x^11+x^9+x^7+x^6+x^5+x+1, and its lengths.
 GOLAY_POLYNOMIAL = 0b101011100011
 GOLAY_BITS, DATA_BITS, PARITY_BITS = 23, 12, 11
 #: (shift, width) of the segments of a fingerprint.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-#: Fingerprints under one key from which the key counts as hot.
-HOT_KEY = 64
 
 
 def _syndromes(words: np.ndarray) -> np.ndarray:
@@ -159,20 +156,12 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     """
     if radius > 4:
         raise ValueError("the keys guarantee at most 4 differing bits")
-    index, probe = _key_rows(fps, False), _key_rows(fps, True)
-    hot = cut(index.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("centre")).where(F.col("n") >= HOT_KEY).drop("n"))
-    n_hot = hot.count()
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
-    ours, theirs = index.withColumnRenamed("fp", "a"), probe.withColumnRenamed("fp", "b")
-    if not n_hot:
-        return ours.join(theirs, "key").where(near & (F.col("a") < F.col("b"))).select("a", "b")
-    keys = small(hot.select("key"), n_hot)
-    cold = ours.join(keys, "key", "left_anti").join(theirs.join(keys, "key", "left_anti"), "key").where(near & (F.col("a") < F.col("b"))).select("a", "b")
-    stars = cut(theirs.join(small(hot, n_hot), "key").withColumnRenamed("centre", "a").where(near & (F.col("a") != F.col("b"))).select("a", "b").distinct())
-    comp = cut(connected_components(stars))
-    mark = lambda df, c: df.join(keys, "key", "left_semi").join(comp.withColumnRenamed("node", c), c, "left").withColumn(f"c{c}", F.coalesce("component", c)).drop("component")
-    rest = mark(ours, "a").join(mark(theirs, "b"), "key").where(near & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b")
-    return cold.unionByName(stars).unionByName(rest)
+    def keyed(probe: bool) -> DataFrame:
+        return _key_rows(fps, probe).select("key", F.col("fp").alias("id"), F.col("fp").alias("bits"))
+
+    # by chance alone, an exact segment of 21 bits is shared by this many
+    chance = fps.count() >> 21
+    return bucket_links(keyed(False), keyed(True), radius, hot_rows=max(HOT_KEY, 16 * chance))
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
