@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, mixing, quality, simhash, toxicity
+from . import chat, decontaminate, licenses, lines, mixing, quality, simhash, spotsigs, toxicity
 from .common import table
 
 
@@ -14,6 +14,16 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and their likeness."""
+    return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, n_turns, copies, rendered of every maximal conversation."""
+    return chat.formatted(table(spark, sf_dir, "conversations"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lines, exact and near repeats dropped, and a digest of the kept text, of every document."""
     found = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -39,6 +49,11 @@ def op7_mixing_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, digest, license_id, notices of every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -47,13 +62,18 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_spotsigs": op2_spotsigs,
+    "op3_chat_formatting": op3_chat_formatting,
     "op4_line_dedup": op4_line_dedup,
     "op5_quality_importance": op5_quality_importance,
     "op6_toxicity": op6_toxicity,
     "op7_mixing_to_target_weights": op7_mixing_to_target_weights,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_license_scan": op9_license_scan,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_chat_formatting": chat.ORACLE,
     "op7_mixing_to_target_weights": mixing.ORACLE,
+    "op9_license_scan": licenses.ORACLE,
 }
