@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, lines, mixing, quality, simhash, spotsigs, toxicity
+from . import chat, decontaminate, licenses, lines, mixing, pii, quality, simhash, spotsigs, toxicity
 from .common import table
 
 
@@ -54,6 +54,12 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_entities, kinds, text with surrogates, of every document."""
+    found = pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.size("_kinds").alias("n_entities"), F.array_join("_kinds", ",").alias("kinds"), "text")
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -70,6 +76,7 @@ QUERIES = {
     "op7_mixing_to_target_weights": op7_mixing_to_target_weights,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_license_scan": op9_license_scan,
+    "op10_pii_surrogates": op10_pii_surrogates,
 }
 
 ORACLES: dict[str, str] = {
