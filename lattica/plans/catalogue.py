@@ -1,4 +1,7 @@
 """The query catalogue on the shared tables: name -> query, name -> DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import retrieval_queries
+
+_PARTS = [retrieval_queries]
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
