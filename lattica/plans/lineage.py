@@ -1,0 +1,13 @@
+"""Cutting the lineage of loops."""
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the folder of ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint(eager=True)
