@@ -30,7 +30,7 @@ MIN_CHARS = 20
 #: White space cut from both ends of a line before it is compared.
 BLANK = " \t\r"
 #: Lines and characters that one round of key generation holds; lines of which a task knows that it has seen them.
-ROUND_LINES, ROUND_CHARS, SEEN_LINES = 20_000, 8_000_000, 300_000
+ROUND_LINES, ROUND_CHARS, SEEN_LINES = 4_000, 1_000_000, 200_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -155,8 +155,8 @@ def _key_rows(docs: DataFrame, text_col: str, tau: int, min_chars: int, probe: b
                 yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array(ids[own]), pa.array(r.bits[own].view(np.int64))], names=["key", "id", "bits"])
 
     found = docs.select(text_col).mapInArrow(run, "key bigint, id bigint, bits bigint")
-    # a line that many tasks have seen: one row a key, in the partitioning that the join needs anyway
-    return found.repartition("key").dropDuplicates(["key", "id"])
+    # a line that many tasks have seen is indexed once, in the partitioning that the join needs anyway
+    return found if probe else found.repartition("key").distinct()
 
 
 def _line(col: Column) -> Column:
@@ -169,6 +169,14 @@ def _exploded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), row.alias("row"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line")).withColumn("line", _line(F.col("line")))
 
 
+def _place() -> Column:
+    """Order of line occurrences as one number, of which a hash aggregation can keep the least: id, row, position."""
+    tens = lambda n: F.lit(str(10**n)).cast(f"decimal({n + 1},0)")
+    first = F.coalesce(F.col("id").cast("bigint"), F.lit(-(1 << 63))).cast("decimal(19,0)")
+    within = F.pmod("row", F.lit(10**9)).cast("decimal(9,0)") * tens(10) + F.col("pos").cast("decimal(10,0)")
+    return (first * tens(19) + within).cast("decimal(38,0)")
+
+
 def links(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, text_col: str = "text") -> DataFrame:
     """(a, b) of XXH64 hashes of distinct lines within ``tau`` edits, complete up to connectivity."""
 
@@ -197,7 +205,7 @@ def links(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, text_col:
 def dropped_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, row, exact, near): for each row that loses lines, the positions that repeat an equal or a near line."""
     rows = _exploded(docs, id_col, text_col).where(F.length("line") >= min_chars).select("id", "row", "pos", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("g"))
-    firsts = cut(rows.groupBy("h", "g").agg(F.min(F.struct("id", "row", "pos")).alias("own"), F.count("*").alias("n")))
+    firsts = cut(rows.groupBy("h", "g").agg(F.min(_place()).alias("own"), F.count("*").alias("n")))
     comp = cut(connected_components(links(docs, tau, min_chars, text_col)))
     member = firsts.join(comp, firsts.h == comp.node)
     lead = member.groupBy("component").agg(F.min("own").alias("lead"))
@@ -206,7 +214,7 @@ def dropped_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, i
     repeated = firsts.where("n > 1").select("h", "g", "own").join(classes.select("h", "g", "lead"), ["h", "g"], "left").select("h", "g", "own", F.coalesce("lead", "own").alias("lead"))
     single = classes.join(firsts.where("n = 1"), ["h", "g"], "left_semi")
     known = cut(repeated.unionByName(single.select("h", "g", "own", "lead")))
-    here = F.struct("id", "row", "pos")
+    here = _place()
     gone = rows.join(small(known, known.count()), ["h", "g"]).where(~here.eqNullSafe(F.col("lead")))
     return gone.groupBy("id", "row").agg(
         F.collect_list(F.when(~here.eqNullSafe(F.col("own")), F.col("pos"))).alias("exact"),
