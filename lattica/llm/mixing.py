@@ -74,15 +74,15 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = 3, share: f
         .alias("b").join(goal.alias("g"), F.col("b.source").eqNullSafe(F.col("g.source")))
         .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
         .withColumn("part", F.least(F.greatest(F.col("target") - F.col("whole") * F.col("source_size") - F.col("before"), F.lit(0.0)), F.col("bucket_size").cast("double")))
-        .select(F.col("b.source").alias("_source"), F.col("bucket").alias("_bucket"), F.col("bucket_size").alias("_bucket_size"), "source_size", "target", F.col("whole").alias("_whole"), F.col("part").alias("_part"))
+        .select(F.col("b.source").alias("__mix_source"), F.col("bucket").alias("__mix_bucket"), F.col("bucket_size").alias("__mix_bucket_size"), "source_size", "target", F.col("whole").alias("__mix_whole"), F.col("part").alias("__mix_part"))
     )
     n = plan.count()
-    part = F.when(F.col("_bucket_size") > 0, F.floor(F.col("size") * F.col("_part") / F.col("_bucket_size"))).otherwise(0)
+    part = F.when(F.col("__mix_bucket_size") > 0, F.floor(F.col("size") * F.col("__mix_part") / F.col("__mix_bucket_size"))).otherwise(0)
     return (
-        rows.withColumn("_b", bucket_of(id_col, seed))
-        .join(small(plan, n), F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_b") == F.col("_bucket")))
-        .withColumn("taken", (F.col("_whole") * F.col("size") + part).cast("long"))
-        .drop("_source", "_bucket", "_bucket_size", "_whole", "_part", "_b")
+        rows.withColumn("__mix_b", bucket_of(id_col, seed))
+        .join(small(plan, n), F.col(source_col).eqNullSafe(F.col("__mix_source")) & (F.col("__mix_b") == F.col("__mix_bucket")))
+        .withColumn("taken", (F.col("__mix_whole") * F.col("size") + part).cast("long"))
+        .drop("__mix_source", "__mix_bucket", "__mix_bucket_size", "__mix_whole", "__mix_part", "__mix_b")
     )
 
 

@@ -74,12 +74,12 @@ def buckets(texts: list[str], cache: _Hashes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _labels(labels: DataFrame, id_col: str, label_col: str, most: int) -> DataFrame:
-    """(_id, _good, _fit): at most about ``most`` labelled ids, bounded by their hash so that reruns agree; a fifth is kept from the fit."""
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_good"))
+    """(id, good, fit), prefixed: at most about ``most`` labelled ids, bounded by their hash so that reruns agree; a fifth is kept from the fit."""
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__quality_id")).agg(F.max(label_col).cast("int").alias("__quality_good"))
     n = known.count()
     if n > most:
-        known = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(most / n * (1 << 20)))
-    return F.broadcast(known.withColumn("_fit", F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(5)) > 0))
+        known = known.where(F.pmod(F.xxhash64("__quality_id"), F.lit(1 << 20)) < int(most / n * (1 << 20)))
+    return F.broadcast(known.withColumn("__quality_fit", F.pmod(F.xxhash64("__quality_id", F.lit(7)), F.lit(5)) > 0))
 
 
 def _counts(labelled: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +94,7 @@ def _counts(labelled: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]
         some = np.nonzero(raw)[0]
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(good[some])], names=["bucket", "raw", "good"])
 
-    rows = labelled.select(text_col, F.when(F.col("_fit"), F.col("_good")).alias("_good")).mapInArrow(run, "bucket bigint, raw bigint, good bigint")
+    rows = labelled.select(text_col, F.when(F.col("__quality_fit"), F.col("__quality_good")).alias("__quality_good")).mapInArrow(run, "bucket bigint, raw bigint, good bigint")
     got = rows.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toPandas()
     raw, good = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[got["bucket"].to_numpy(np.int64)], good[got["bucket"].to_numpy(np.int64)] = got["raw"], got["good"]
@@ -139,7 +139,7 @@ def _cut_of(labelled: DataFrame) -> float:
     if low is None or low == high:
         return -math.inf if low is None else low
     step = (high - low) / 4096
-    rows = labelled.groupBy(F.floor((F.col("weight") - low) / step).alias("b")).agg(F.sum("_good").alias("good"), F.count("*").alias("n")).collect()
+    rows = labelled.groupBy(F.floor((F.col("weight") - low) / step).alias("b")).agg(F.sum("__quality_good").alias("good"), F.count("*").alias("n")).collect()
     rows.sort(key=lambda r: r["b"])
     good, bad = sum(r["good"] for r in rows), sum(r["n"] - r["good"] for r in rows)
     if not good or not bad:
@@ -162,20 +162,11 @@ def importance(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: i
     disagree about an id count as good. An empty table gives an empty result.
     """
     known = _labels(labels, id_col, label_col, MAX_LABELLED)
-    joined = docs.join(known, F.col(id_col) == F.col("_id"), "left").drop("_id")
+    wanted = [*dict.fromkeys([id_col, text_col, *(columns or [])])]
+    joined = docs.select(*wanted).join(known, F.col(id_col) == F.col("__quality_id"), "left").drop("__quality_id")
     raw, good = _counts(joined, text_col)
     ratio = docs.sparkSession.sparkContext.broadcast(log_ratio(raw, good) if good.sum() else np.zeros(BUCKETS))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _Hashes()
-        for b in batches:
-            weight = np.zeros(b.num_rows)
-            for first, texts in rounds(b.column(0).to_pylist()):
-                grams, text = buckets(texts, cache)
-                n = np.bincount(text, minlength=len(texts))
-                weight[first : first + len(texts)] = np.bincount(text, ratio.value[grams], len(texts)) / np.maximum(n, 1)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), b.column(len(names) + 1), pa.array(weight * REFERENCE)], names=[*names, "_good", "weight"])
-
     def scored(names: list[str]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cache = _Hashes()
@@ -185,18 +176,18 @@ def importance(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: i
                     grams, text = buckets(texts, cache)
                     n = np.bincount(text, minlength=len(texts))
                     weight[first : first + len(texts)] = np.bincount(text, ratio.value[grams], len(texts)) / np.maximum(n, 1)
-                yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(weight * REFERENCE)], names=[*names, "_known", "weight"])
+                yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(weight * REFERENCE)], names=[*names, "__quality_known", "weight"])
 
-        ddl = ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in names) + ", _known int, weight double"
-        apart = F.when((F.col("_good") < 1) | ~F.col("_fit"), F.col("_good"))
-        rows = joined.select(F.col(text_col).alias("_text"), *names, apart.alias("_known")).mapInArrow(run, ddl)
+        ddl = ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in names) + ", __quality_known int, weight double"
+        apart = F.when((F.col("__quality_good") < 1) | ~F.col("__quality_fit"), F.col("__quality_good"))
+        rows = joined.select(F.col(text_col).alias("_text"), *names, apart.alias("__quality_known")).mapInArrow(run, ddl)
         uniform = (F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(1 << 52)) + 0.5) / float(1 << 52)
         return rows.withColumn("gumbel_key", F.col("weight") - F.log(-F.log(uniform)))
 
     keys = cut(scored([id_col]))
     if k is None:
-        least = _cut_of(keys.where("_known is not null").withColumnRenamed("_known", "_good"))
+        least = _cut_of(keys.where("__quality_known is not null").withColumnRenamed("__quality_known", "__quality_good"))
         k = keys.where(F.col("weight") >= least).count()
     bound = kth_largest(keys, "gumbel_key", k)
     out = scored(columns) if columns else keys  # scored anew where texts go along: cheaper than to store them
-    return out.drop("_known").withColumn("selected", F.col("gumbel_key") >= bound)
+    return out.drop("__quality_known").withColumn("selected", F.col("gumbel_key") >= bound)

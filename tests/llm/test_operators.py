@@ -1,0 +1,425 @@
+"""The ten training-data operators against brute force, and on awkward tables."""
+
+import hashlib
+import math
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from lattica.llm import chat, common, decontaminate, licenses, lines, mixing, near, pii, quality, simhash, spotsigs, toxicity
+
+LONG = "lorem ipsum dolor sit amet " * 4000
+ROWS = [(1, "the cat sat on the mat with the dog and the bird in a tree", "en", "s1", 5), (2, None, None, None, None), (None, "", "en", "s2", 0), (4, LONG, "en", "s1", 1), (5, "tie text here now", "en", "s1", 1), (6, "tie text here now", "en", "s1", 1), (6, "tie text here now", "en", "s1", 1), (7, "😀 ünï\tcödé\n\nline", "de", "", 3)]
+#: Names that operators use inside.
+CLASHING = ["id", "row", "key", "fp", "bits", "size", "taken", "bucket", "source_size", "target", "weight", "score", "component", "_text", "_bucket", "exact", "kind", "a", "b", "h"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    df = spark.createDataFrame(ROWS, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in CLASHING:
+        df = df.withColumn(c, F.lit("x"))
+    return df
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.where("false")
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(1, 1, 0), (4, 0, 1), (None, 1, 1), (5, None, None), (6, 1, 0)], "doc_id long, quality int, toxic int")
+
+
+@pytest.fixture(scope="module")
+def bench(spark):
+    return spark.createDataFrame([(1, "cat sat on the mat with the dog"), (None, "x y z"), (2, None), (3, "two words")], "item_id long, text string")
+
+
+APPLIED = {
+    "decontaminate.matches": lambda d, lab, b: decontaminate.matches(d, b),
+    "decontaminate.clean": lambda d, lab, b: decontaminate.clean(d, b),
+    "spotsigs": lambda d, lab, b: spotsigs.fingerprints(d),
+    "lines": lambda d, lab, b: lines.dedup(d),
+    "quality": lambda d, lab, b: quality.importance(d, lab),
+    "toxicity": lambda d, lab, b: toxicity.score(d, toxicity.labelled_texts(d, lab)),
+    "mixing": lambda d, lab, b: mixing.mix(d),
+    "simhash": lambda d, lab, b: simhash.near_duplicates(d),
+    "near": lambda d, lab, b: near.keep_one(d),
+    "licenses": lambda d, lab, b: licenses.scan(d),
+    "pii": lambda d, lab, b: pii.replace(d),
+}
+PER_ROW = ["spotsigs", "lines", "quality", "toxicity", "mixing", "simhash", "licenses", "pii"]
+
+
+@pytest.mark.parametrize("name", list(APPLIED))
+def test_awkward_rows(docs, labels, bench, name):
+    got = APPLIED[name](docs, labels, bench).collect()
+    if name in PER_ROW:
+        assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in ROWS)
+    if name == "decontaminate.matches":
+        assert [(r.doc_id, r.item_id, r.similarity) for r in got] == [(1, 1, 1.0)]
+    if name == "decontaminate.clean":
+        assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in ROWS if r[0] != 1)
+    if name == "near":
+        assert sorted(str(r.doc_id) for r in got) == ["1", "2", "4", "5", "7"]
+
+
+@pytest.mark.parametrize("name", list(APPLIED))
+def test_empty_table(none, labels, bench, name):
+    assert APPLIED[name](none, labels, bench).count() == 0
+
+
+@pytest.mark.parametrize("name", ["quality", "toxicity", "decontaminate.matches"])
+def test_empty_side_tables(docs, labels, bench, name):
+    got = APPLIED[name](docs, labels.where("false"), bench.where("false")).collect()
+    assert len(got) == (0 if name == "decontaminate.matches" else len(ROWS))
+
+
+def test_golay_keys_meet():
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, 2**63, 2000, dtype=np.uint64)
+    y = x.copy()
+    for i in range(len(y)):
+        for b in rng.choice(64, rng.integers(0, 5), replace=False):
+            y[i] ^= np.uint64(1 << int(b))
+    for p, q in ((x, y), (y, x)):
+        rows, keys = simhash.fuzzy_keys(p, True)
+        own: dict = {}
+        for r, k in zip(rows, keys):
+            own.setdefault(r, set()).add(k)
+        rows, keys = simhash.fuzzy_keys(q, False)
+        assert {r for r, k in zip(rows, keys) if k in own[r]} == set(range(2000))
+
+
+def simhash_by_definition(text, words):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    parts = [" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))] if w else []
+    h = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+    return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h)) if h else 0
+
+
+def test_simhash_components(spark):
+    random.seed(1)
+    base = [" ".join(random.choice("abcdefghij") * random.randint(1, 3) for _ in range(40)) for _ in range(12)]
+    texts = []
+    for i, b in enumerate(base):
+        for _ in range(12):
+            w = b.split()
+            w[random.randrange(40)] = "zz"
+            texts.append(" ".join(w))
+    texts += ["", None, "A b", "a b", "É x"]
+    fps = [simhash_by_definition(t, 4) for t in texts]
+    owner = list(range(len(fps)))
+
+    def find(i):
+        while owner[i] != i:
+            i = owner[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 4:
+                a, b = find(i), find(j)
+                owner[max(a, b)] = min(a, b)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for hot in (64, 2):  # with and without keys that count as hot
+        old, common.HOT_KEY = common.HOT_KEY, hot
+        simhash.HOT_KEY = hot
+        got = {r.doc_id: (r.fp % 2**64, r.component_id) for r in simhash.near_duplicates(df).collect()}
+        common.HOT_KEY = simhash.HOT_KEY = old
+        assert got == {i: (fps[i], find(i)) for i in range(len(fps))}
+
+
+def test_components_of_a_path_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
+    got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(got[i] == 0 for i in range(41)) and all(got[100 + i] == 100 for i in range(30))
+
+
+def test_near_keeps_one_of_each_group(spark):
+    random.seed(2)
+    vocab = ["".join(random.choice("abcdefghijklmnop") for _ in range(random.randint(2, 9))) for _ in range(3000)]
+    rows, k = [], 0
+    for g in range(15):
+        w = [random.choice(vocab) for _ in range(300)]
+        for c in range(4):
+            v = w[:]
+            for _ in range(c):  # up to 3 words changed of 300: similarity of 0.9 or more
+                v[random.randrange(300)] = random.choice(vocab)
+            rows.append((k, " ".join(v)))
+            k += 1
+    rows += [(1000 + i, " ".join(random.choice(vocab) for _ in range(200))) for i in range(30)]
+    kept = sorted(r.doc_id for r in near.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == [4 * g for g in range(15)] + [1000 + i for i in range(30)]
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(row[j + 1] + 1, new[j] + 1, row[j] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def changed(s, k):
+    s = list(s)
+    for _ in range(k):
+        o, i = random.randrange(3) if s else 1, random.randrange(max(1, len(s)))
+        if o == 0:
+            s[i] = random.choice("abc")
+        elif o == 1:
+            s.insert(i, random.choice("abc"))
+        else:
+            del s[i]
+    return "".join(s)
+
+
+def test_edit_distance_and_keys():
+    random.seed(3)
+    for _ in range(3000):
+        a = "".join(random.choice("abc") for _ in range(random.randrange(1, 14)))
+        b = changed(a + "x", random.randrange(5))
+        for t in (1, 2, 3):
+            assert lines.edit_distance(a, b, t) == min(distance(a, b), t + 1)
+    for _ in range(300):
+        a = "".join(random.choice("abcdefgh") for _ in range(random.randrange(20, 70)))
+        b = changed(a, 2)
+        if a == b:
+            continue
+        r = lines._Round([a, b])
+        (i, ik), (p, pk) = r.index(2), r.probes(2)
+        of = lambda rows, keys, k: {x for n, x in zip(rows, keys) if n == k}
+        assert of(i, ik, 0) & of(p, pk, 1) or of(i, ik, 1) & of(p, pk, 0)
+        assert int(r.bits[0] ^ r.bits[1]).bit_count() <= 8
+
+
+@pytest.mark.parametrize("hot", [64, 3])
+def test_line_classes(spark, hot):
+    random.seed(4)
+    base = "the quick brown fox jumps over the lazy dog"
+    rows = [(i, changed(base, 2) + "\n" + "".join(random.choice("abcdefgh ") for _ in range(30)).strip() + "\nshort") for i in range(60)]
+    places = [((k, p), x.strip(lines.BLANK)) for k, t in rows for p, x in enumerate(t.split("\n"))]
+    distinct = sorted({x for _, x in places if len(x) >= 20})
+    owner = {x: x for x in distinct}
+
+    def find(x):
+        while owner[x] != x:
+            x = owner[x]
+        return x
+
+    for i, a in enumerate(distinct):
+        for b in distinct[:i]:
+            if distance(a, b) <= 2:
+                owner[find(a)] = find(b)
+    first: dict = {}
+    for place, x in places:
+        if len(x) >= 20:
+            first[find(x)] = min(first.get(find(x), place), place)
+    want = {k: "\n".join(x for p, x in enumerate(t.split("\n")) if len(x.strip(lines.BLANK)) < 20 or first[find(x.strip(lines.BLANK))] == (k, p)) for k, t in rows}
+    old, common.HOT_KEY = common.HOT_KEY, hot
+    common.bucket_links.__defaults__ = (None, hot)
+    try:
+        got = {r.doc_id: r.text for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        common.HOT_KEY = old
+        common.bucket_links.__defaults__ = (None, old)
+    assert got == want
+
+
+def test_windows_by_brute_force(spark):
+    random.seed(5)
+    vocab = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(random.choice(vocab) for _ in range(random.randint(12, 40)))) for i in range(20)]
+    rows = []
+    for i in range(60):
+        w = [random.choice(vocab) for _ in range(120)]
+        if i % 2:
+            x = items[i % 20][1].split()
+            if i % 4 == 1:
+                x[-1] = "changed"
+            w[30:30] = [f"{a.upper()}," for a in x]
+        rows.append((i, " ".join(w)))
+    found = {(r.doc_id, r.item_id) for r in decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+
+    def grams(w):
+        return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+
+    want = set()
+    for k, t in rows:
+        w = re.findall(r"[^\W_]+", t.lower())
+        for i, x in items:
+            g = grams(x.split())
+            for p in range(len(w) - len(x.split()) + 1):
+                h = grams(w[p : p + len(x.split())])
+                both = sum(min(g.count(y), h.count(y)) for y in set(g))
+                if both / (len(g) + len(h) - both) >= 0.8:
+                    want.add((k, i))
+    assert found == want and len(want) >= 30
+
+
+def test_spot_signatures(spark):
+    rows = [(i, " ".join(random.Random(i).choices(["the", "and", "cat", "dog", "sun", "of", "sea"], k=60))) for i in range(30)] + [(30, ""), (31, None), (32, "😀é" * 9)]
+    anchors = set(spotsigs.ANCHORS)
+
+    def sigs(t):
+        w = [x for x in re.split(r"[\W_]+", t.lower()) if x]
+        c, out, n = [x for x in w if x not in anchors], set(), 0
+        for x in w:
+            if x in anchors:
+                if n + 2 <= len(c):
+                    out.add((x, c[n], c[n + 1]))
+            else:
+                n += 1
+        return out or {t}
+
+    old, spotsigs.BUCKET_ROWS = spotsigs.BUCKET_ROWS, 4
+    got = {r.doc_id: r for r in spotsigs.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    spotsigs.BUCKET_ROWS = old
+    for i, (k, t) in enumerate(rows):
+        t, nxt = t or "", rows[(i + 1) % len(rows)][1] or ""
+        n = len(t)
+        e = t[: n - n // 4] + nxt[: n // 4]
+        a, b, c = sigs(t), sigs(e), sigs(nxt)
+        r = got[k]
+        assert (r.n_chars, r.edited_sha256) == (n, hashlib.sha256(e.encode()).hexdigest())
+        assert math.isclose(r.near_edited, len(a & b) / len(a | b)) and math.isclose(r.near_next, len(a & c) / len(a | c))
+
+
+def test_spot_pairs(spark):
+    random.seed(6)
+    rows = []
+    for g in range(10):
+        w = [random.choice(["the", "of", *[f"x{i}" for i in range(200)]]) for _ in range(200)] + ["the", "end"]
+        for c in range(3):
+            v = w[:]
+            v[random.randrange(200)] = f"y{c}"
+            rows.append((len(rows), " ".join(v)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.a, r.b) for r in spotsigs.near_pairs(df, 0.6).collect()}
+    sets = {r._id: set(r._sig) for r in spotsigs.with_signatures(df.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")), "_text", "_sig").collect()}
+    assert got == {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6 and sets[a] != sets[b]}
+
+
+def test_chat_collapse(spark):
+    turns = [(1, 0, "user", "hi"), (1, 1, "bot", "yo"), (2, 0, "user", "hi"), (3, 5, "user", "hi"), (3, 9, "bot", "yo"), (4, 0, "user", "hi"), (4, 1, "bot", "no"), (4, 2, None, None), (5, 0, "user", "a<|im_end|>"), (None, 0, "user", "lost")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("pos", F.lit(1)).withColumn("h", F.lit(1))
+    got = {r.conv_id: (r.n_turns, r.copies) for r in chat.formatted(df).collect()}
+    assert got == {1: (2, 2), 4: (3, 1), 5: (1, 1), None: (1, 1)}
+    assert {r.conv_id: r.rendered for r in chat.formatted(df).collect()}[5] == "<|im_start|>user\na< |im_end|><|im_end|>\n"
+    assert chat.formatted(df.where("false")).count() == 0
+
+
+def test_water_filling(spark):
+    sizes = {"a": 100, "b": 1000, "c": 5, None: 40}
+    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+    names, total, open_ = ["a", "b", "c", None], sum(sizes.values()), {"a": 5, "b": 2, "c": 1, None: 5}
+    want, left = {}, float(total)
+    while True:
+        level = left / sum(open_.values())
+        over = [s for s in open_ if level * open_[s] > 3 * sizes[s]]
+        if not over:
+            want |= {s: level * w for s, w in open_.items()}
+            break
+        for s in over:
+            want[s] = 3.0 * sizes[s]
+            left -= want[s]
+            del open_[s]
+    assert all(math.isclose(got[s], want[s]) for s in names)
+
+
+def test_mix_meets_targets(spark):
+    rows = [(i, "w " * random.Random(i).randint(0, 60), f"s{i % 4}") for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(df.repartition(3)).collect()))
+    by: dict = {}
+    for r in got:
+        assert 0 <= r.taken <= 3 * r["size"] and r["size"] == len(r.text.split())
+        by.setdefault(r.source, [r.target, 0])[1] += r.taken
+    assert all(abs(t - k) <= 5 for t, k in by.values())
+
+
+def test_kth_largest(spark):
+    values = [random.Random(7).choice([0.5, 1.5, random.Random(i).random() * 1e6]) for i in range(3000)] + [0.5] * 50
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for k in (1, 10, 1500, len(values), 10**6):
+        assert quality.kth_largest(df, "x", k) == sorted(values, reverse=True)[min(k, len(values)) - 1]
+
+
+def test_quality_rejects_junk(spark, data):
+    docs, lab = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    got = quality.importance(docs, lab).join(lab, "doc_id").where("quality is not null").collect()
+    good, bad = [r.selected for r in got if r.quality == 1], [r.selected for r in got if r.quality == 0]
+    assert sum(good) >= 0.95 * len(good) and sum(bad) <= 0.2 * len(bad)
+
+
+def test_toxicity_held_out(spark):
+    d = "/root/testdata/sf0.01"
+    docs, lab = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    got = toxicity.score(docs, toxicity.labelled_texts(docs, lab)).join(lab, "doc_id").where(held).collect()
+    right = [(r.score >= 0.5) == (r.toxic == 1) for r in got]
+    assert sum(right) >= 0.9 * len(right)
+
+
+def test_counterfactual_penalty(spark):
+    assert toxicity.counterfactual("Muslims and women") == "christians and men" and toxicity.counterfactual("no group here") is None
+    insults, rows = ["idiot", "scum"], []
+    for i in range(200):
+        group = "muslims" if i % 10 < 8 else "christians"
+        rows.append((f"{group} you {insults[i % 2]} word{i % 7}", 1))
+        rows.append((f"{'christians' if i % 10 < 8 else 'muslims'} nice day word{i % 7}", 0))
+    neutral = spark.createDataFrame([(1, "muslims walk home"), (2, "christians walk home")], "doc_id long, text string")
+    texts = spark.createDataFrame(rows, "text string, label int")
+    gap = {}
+    for penalty in (0.0, 20.0):
+        old, toxicity.PENALTY = toxicity.PENALTY, penalty
+        s = {r.doc_id: r.score for r in toxicity.score(neutral, texts).collect()}
+        toxicity.PENALTY = old
+        gap[penalty] = abs(s[1] - s[2])
+    assert gap[20.0] < 0.5 * gap[0.0]
+
+
+def test_license_forms(spark):
+    mit = dict(licenses.KNOWN)["MIT"]
+    full = next(t for k, t in licenses.KNOWN if k == "MIT" and t.startswith("Permission"))
+    rows = [(1, "Copyright (c) 2020 Some One\n\n" + full.replace("software", "Software").upper()), (2, full + " more"), (3, "x\nreleased under the MIT Licence!\ny"), (4, "Licence")]
+    got = {r.doc_id: (r.license_id, r.notices) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("MIT", ""), 2: (None, ""), 3: (None, "MIT"), 4: (None, "")} and mit
+
+
+def test_surrogates(spark):
+    text = 'Mail Bob.S+x@mail8.example.com, +1 (980) 555-6268 or +1-980-555-6268. Mr. John Smith met Frau Müller at 42.144.35.254; card 4539 1488 0343 6467, token = "0cab398dc11d1a2a11dc6572c8df8bd2"'
+    rows = [(1, text), (2, "again bob.s+x@mail8.example.com and ssn 123-45-6789")]
+    got = {r.doc_id: r for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    t = got[1].text
+    assert got[1]._kinds == ["email", "phone", "phone", "name", "name", "ip", "card", "secret"] and got[2]._kinds == ["email", "ssn"]
+    for private in ("Bob", "mail8", "555-6268", "Smith", "Müller", "42.144.35.254", "4539", "0cab398d"):
+        assert private not in t
+    one, two = re.search(r"\+1 \((\d{3})\) (\d{3}-\d{4}) or \+1-(\d{3}-\d{3}-\d{4})\.", t), None
+    assert one and one[1] + "-" + one[2] == one[3] and two is None
+    assert re.search(r"\S+@d[0-9a-f]{8}\.example", t)[0] == re.search(r"\S+@d[0-9a-f]{8}\.example", got[2].text)[0]
+    digits = [int(c) for c in re.search(r"card ([\d ]{19})", t)[1] if c != " "]
+    assert sum(d if i % 2 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(digits)) % 10 == 0
+    assert re.search(r'token = "[0-9a-f]{32}"', t) and re.search(r"Mr\. \w+ \w+ met Frau \w+ at", t)
+
+
+def test_coinciding_surrogates_are_drawn_again(spark, monkeypatch):
+    whole = pii.surrogate
+    monkeypatch.setattr(pii, "surrogate", lambda c, k, n, key=pii.KEY: F.when((k == "ip") & (n < 2), F.lit("9.9.9.9")).otherwise(whole(c, k, n, key)))
+    rows = [(i, f"see 10.0.0.{i % 5} and 9.9.9.9 there") for i in range(10)]
+    seen: dict = {}
+    for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        new = re.findall(r"\d+\.\d+\.\d+\.\d+", r.text)
+        for old, s in zip((f"10.0.0.{r.doc_id % 5}", "9.9.9.9"), new):
+            seen.setdefault(old, set()).add(s)
+    assert len(seen) == 6 and all(len(s) == 1 for s in seen.values())
+    assert len(set.union(*seen.values())) == 6 and "9.9.9.9" not in set.union(*seen.values())
