@@ -208,7 +208,8 @@ def replace(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: s
         drawn = F.transform("__pii_e", lambda e, i: plain(e, F.coalesce(F.element_at("__pii_counter", i), F.lit(0))))
     else:
         drawn = F.transform("__pii_e", lambda e: plain(e, F.lit(0)))
-    between = F.split(text, ENTITY, -1)
-    joined = F.concat(F.array_join(F.zip_with(F.slice(between, 1, F.size("__pii_e")), drawn, lambda a, b: F.concat(a, b)), ""), F.element_at(between, -1))
-    out = rows.withColumn("_kinds", F.transform("__pii_e", kind)).withColumn(text_col, F.when(F.size("__pii_e") > 0, joined).otherwise(F.col(text_col)))
-    return out.drop("__pii_e", "__pii_counter")
+    # what stands between the entities, and the surrogates: columns of their own, so that each is computed once
+    some = F.size("__pii_e") > 0
+    rows = rows.withColumn("__pii_between", F.when(some, F.split(text, ENTITY, -1))).withColumn("__pii_new", F.when(some, drawn)).withColumn("_kinds", F.transform("__pii_e", kind))
+    joined = F.concat(F.array_join(F.zip_with(F.slice("__pii_between", 1, F.size("__pii_e")), F.col("__pii_new"), lambda a, b: F.concat(a, b)), ""), F.element_at("__pii_between", -1))
+    return rows.withColumn(text_col, F.when(some, joined).otherwise(F.col(text_col))).drop("__pii_e", "__pii_counter", "__pii_between", "__pii_new")
