@@ -128,9 +128,13 @@ def _name(canon: Column, h: Column) -> Column:
     return out
 
 
-def surrogate(canon: Column, k: Column, counter: Column, key: str = KEY) -> Column:
-    """The canonical surrogate of a canonical entity."""
-    h = F.sha2(F.concat_ws("|", F.lit(key), k, counter.cast("string"), canon), 512)
+def keyed(canon: Column, k: Column, counter: Column, key: str) -> Column:
+    """The digest that a surrogate's letters and digits are drawn from."""
+    return F.sha2(F.concat_ws("|", F.lit(key), k, counter.cast("string"), canon), 512)
+
+
+def surrogate(canon: Column, k: Column, h: Column, key: str = KEY) -> Column:
+    """The canonical surrogate of a canonical entity, drawn from its digest ``h``."""
     local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
     d = F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), domain), 512)
     ip = F.concat_ws(".", *[(_byte(h, F.lit(i)) % m + a).cast("string") for i, (m, a) in enumerate(((223, 1), (256, 0), (256, 0), (254, 1)))])
@@ -167,7 +171,8 @@ def redrawn(entities: DataFrame, key: str = KEY) -> DataFrame:
     tried = entities.withColumn("counter", F.lit(0))
     taken, moved = None, None
     for n in range(ROUNDS):
-        tried = cut(tried.withColumn("s", surrogate(F.col("canon"), F.col("kind"), F.col("counter"), key)))
+        tried = tried.withColumn("h", keyed(F.col("canon"), F.col("kind"), F.col("counter"), key))
+        tried = cut(tried.withColumn("s", surrogate(F.col("canon"), F.col("kind"), F.col("h"), key)).drop("h"))
         first = tried.groupBy("kind", "s").agg(F.min("canon").alias("canon"))
         first = first.join(entities.select("kind", F.col("canon").alias("s")), ["kind", "s"], "left_anti")
         if taken is not None:
@@ -199,17 +204,27 @@ def replace(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: s
     moved = redrawn(named, key)
     row = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), text)
     rows = docs.drop("_kinds").withColumn("__pii_e", _entities(text))
-    plain = lambda e, c: written(e, kind(e), surrogate(canonical(e, kind(e)), kind(e), c, key))
+
+    def known(e: Column, i: Column) -> Column:
+        k = kind(e)
+        return F.struct(e.alias("e"), k.alias("k"), i.alias("i"))
+
+    # step by step, so that kinds, canonical forms and digests are computed once an entity
+    rows = rows.withColumn("__pii_e", F.transform("__pii_e", known))
     if moved.take(1):
-        held = rows.where(F.size("__pii_e") > 0).select(row.alias("row"), F.posexplode("__pii_e").alias("pos", "e")).withColumn("kind", kind(F.col("e"))).withColumn("canon", canonical(F.col("e"), F.col("kind")))
+        held = rows.where(F.size("__pii_e") > 0).select(row.alias("row"), F.explode("__pii_e").alias("x")).select("row", F.col("x.i").alias("pos"), F.col("x.k").alias("kind"), canonical(F.col("x.e"), F.col("x.k")).alias("canon"))
         counters = held.join(moved, ["kind", "canon"]).select("row", "pos", "counter").distinct()
         counters = counters.groupBy(F.col("row").alias("__pii_row")).agg(F.map_from_entries(F.collect_list(F.struct("pos", "counter"))).alias("__pii_counter"))
         rows = rows.withColumn("__pii_key", row).join(counters, F.col("__pii_key") == F.col("__pii_row"), "left").drop("__pii_key", "__pii_row")
-        drawn = F.transform("__pii_e", lambda e, i: plain(e, F.coalesce(F.element_at("__pii_counter", i), F.lit(0))))
+        counter = lambda x: F.coalesce(F.element_at("__pii_counter", x["i"]), F.lit(0))
     else:
-        drawn = F.transform("__pii_e", lambda e: plain(e, F.lit(0)))
+        counter = lambda x: F.lit(0)
+    rows = rows.withColumn("__pii_c", F.transform("__pii_e", lambda x: F.struct(x["e"].alias("e"), x["k"].alias("k"), canonical(x["e"], x["k"]).alias("c"), counter(x).alias("n"))))
+    rows = rows.withColumn("__pii_h", F.transform("__pii_c", lambda x: F.struct(x["e"].alias("e"), x["k"].alias("k"), x["c"].alias("c"), keyed(x["c"], x["k"], x["n"], key).alias("h"))))
+    rows = rows.withColumn("__pii_s", F.transform("__pii_h", lambda x: F.struct(x["e"].alias("e"), x["k"].alias("k"), surrogate(x["c"], x["k"], x["h"], key).alias("s"))))
+    drawn = F.transform("__pii_s", lambda x: written(x["e"], x["k"], x["s"]))
     # what stands between the entities, and the surrogates: columns of their own, so that each is computed once
     some = F.size("__pii_e") > 0
-    rows = rows.withColumn("__pii_between", F.when(some, F.split(text, ENTITY, -1))).withColumn("__pii_new", F.when(some, drawn)).withColumn("_kinds", F.transform("__pii_e", kind))
+    rows = rows.withColumn("__pii_between", F.when(some, F.split(text, ENTITY, -1))).withColumn("__pii_new", F.when(some, drawn)).withColumn("_kinds", F.transform("__pii_e", lambda x: x["k"]))
     joined = F.concat(F.array_join(F.zip_with(F.slice("__pii_between", 1, F.size("__pii_e")), F.col("__pii_new"), lambda a, b: F.concat(a, b)), ""), F.element_at("__pii_between", -1))
-    return rows.withColumn(text_col, F.when(some, joined).otherwise(F.col(text_col))).drop("__pii_e", "__pii_counter", "__pii_between", "__pii_new")
+    return rows.withColumn(text_col, F.when(some, joined).otherwise(F.col(text_col))).drop("__pii_e", "__pii_c", "__pii_h", "__pii_s", "__pii_counter", "__pii_between", "__pii_new")

@@ -413,13 +413,13 @@ def test_surrogates(spark):
 
 
 def test_coinciding_surrogates_are_drawn_again(spark, monkeypatch):
-    whole = pii.surrogate
-    monkeypatch.setattr(pii, "surrogate", lambda c, k, n, key=pii.KEY: F.when((k == "ip") & (n < 2), F.lit("9.9.9.9")).otherwise(whole(c, k, n, key)))
-    rows = [(i, f"see 10.0.0.{i % 5} and 9.9.9.9 there") for i in range(10)]
+    whole = pii.keyed
+    monkeypatch.setattr(pii, "keyed", lambda c, k, n, key: F.when((k == "ip") & (n < 2), F.lit("0a" * 64)).otherwise(whole(c, k, n, key)))
+    rows = [(i, f"see 10.0.0.{i % 5} and 11.10.10.11 there") for i in range(10)]
     seen: dict = {}
     for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         new = re.findall(r"\d+\.\d+\.\d+\.\d+", r.text)
-        for old, s in zip((f"10.0.0.{r.doc_id % 5}", "9.9.9.9"), new):
+        for old, s in zip((f"10.0.0.{r.doc_id % 5}", "11.10.10.11"), new):
             seen.setdefault(old, set()).add(s)
     assert len(seen) == 6 and all(len(s) == 1 for s in seen.values())
-    assert len(set.union(*seen.values())) == 6 and "9.9.9.9" not in set.union(*seen.values())
+    assert len(set.union(*seen.values())) == 6 and "11.10.10.11" not in set.union(*seen.values())
