@@ -145,11 +145,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     no licence. Repeated rows give repeated rows; other columns are ignored.
     """
     known = known_digests(docs.sparkSession)
-    table = known.agg(F.map_from_entries(F.collect_list(F.struct("known_digest", "license_id"))).alias("_known"))  # one row of KNOWN's size
+    by_digest = F.create_map(*[F.lit(x) for r in known.collect() for x in (r["known_digest"], r["license_id"])])  # KNOWN's size
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias(id_col), digest(text).alias("digest"), F.filter(F.split(text, "\n"), lambda x: x.rlike(NOTICE)).alias("_lines"))
-    rows = rows.join(F.broadcast(known), rows.digest == known.known_digest, "left").crossJoin(F.broadcast(table))
-    found = F.when(F.size("_lines") > 0, F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform("_lines", lambda x: F.element_at("_known", digest(x))), lambda x: x.isNotNull()))), ",")).otherwise("")
+    rows = rows.join(F.broadcast(known), rows.digest == known.known_digest, "left")
+    found = F.when(F.size("_lines") > 0, F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform("_lines", lambda x: F.element_at(by_digest, digest(x))), lambda x: x.isNotNull()))), ",")).otherwise("")
     return rows.select(id_col, "digest", "license_id", found.alias("notices"))
 
 
