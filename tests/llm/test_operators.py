@@ -1,5 +1,6 @@
 """The ten training-data operators against brute force, and on awkward tables."""
 
+import functools
 import hashlib
 import math
 import random
@@ -129,10 +130,9 @@ def test_simhash_components(spark):
                 owner[max(a, b)] = min(a, b)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for hot in (64, 2):  # with and without keys that count as hot
-        old, common.HOT_KEY = common.HOT_KEY, hot
-        simhash.HOT_KEY = hot
+        old, simhash.HOT_KEY = simhash.HOT_KEY, hot
         got = {r.doc_id: (r.fp % 2**64, r.component_id) for r in simhash.near_duplicates(df).collect()}
-        common.HOT_KEY = simhash.HOT_KEY = old
+        simhash.HOT_KEY = old
         assert got == {i: (fps[i], find(i)) for i in range(len(fps))}
 
 
@@ -202,7 +202,7 @@ def test_edit_distance_and_keys():
 
 
 @pytest.mark.parametrize("hot", [64, 3])
-def test_line_classes(spark, hot):
+def test_line_classes(spark, hot, monkeypatch):
     random.seed(4)
     base = "the quick brown fox jumps over the lazy dog"
     rows = [(i, changed(base, 2) + "\n" + "".join(random.choice("abcdefgh ") for _ in range(30)).strip() + "\nshort") for i in range(60)]
@@ -224,13 +224,8 @@ def test_line_classes(spark, hot):
         if len(x) >= 20:
             first[find(x)] = min(first.get(find(x), place), place)
     want = {k: "\n".join(x for p, x in enumerate(t.split("\n")) if len(x.strip(lines.BLANK)) < 20 or first[find(x.strip(lines.BLANK))] == (k, p)) for k, t in rows}
-    old, common.HOT_KEY = common.HOT_KEY, hot
-    common.bucket_links.__defaults__ = (None, hot)
-    try:
-        got = {r.doc_id: r.text for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    finally:
-        common.HOT_KEY = old
-        common.bucket_links.__defaults__ = (None, old)
+    monkeypatch.setattr(lines, "bucket_links", functools.partial(common.bucket_links, hot_rows=hot))
+    got = {r.doc_id: r.text for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
 
 
