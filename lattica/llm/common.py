@@ -89,7 +89,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 HOT_KEY = 64
 
 
-def bucket_links(index: DataFrame, probe: DataFrame, radius: int, verify=None, hot_rows: int = HOT_KEY) -> DataFrame:
+def bucket_links(index: DataFrame, probe: DataFrame, radius: int, verify=None, hot_rows: int = HOT_KEY, sharpen=None, sharp_radius: int = 0) -> DataFrame:
     """(a, b) of ids that share a key between ``index`` and ``probe`` (key, id, bits) and are alike.
 
     Alike: their 64 ``bits`` differ in at most ``radius`` places and, if given, ``verify`` keeps the
@@ -99,6 +99,8 @@ def bucket_links(index: DataFrame, probe: DataFrame, radius: int, verify=None, h
     Bits are compared inside the join, so only near pairs leave it. Under a hot key all rows are first
     linked to its smallest id only; after that, pairs that are already connected give no row, so large
     groups of near copies never give all their pairs. Hot keys' join partitions can be split by AQE.
+    For pairs under hot keys, ``sharpen`` can give longer bits, (id, sharp array) from a DataFrame of
+    ids, that must differ in at most ``sharp_radius`` places as well.
     """
     check = verify or (lambda pairs: pairs)
     near = F.bit_count(F.col("abits").bitwiseXOR(F.col("bbits"))) <= radius
@@ -121,5 +123,15 @@ def bucket_links(index: DataFrame, probe: DataFrame, radius: int, verify=None, h
         mine = rows.join(keys, "key", "left_semi").join(comp.withColumnRenamed("node", c), c, "left")
         return mine.withColumn(f"{c}comp", F.coalesce("component", c)).drop("component")
 
-    rest = marked(ours, "a").join(marked(theirs, "b"), "key").where(near & (F.col("a") != F.col("b")) & (F.col("acomp") != F.col("bcomp")))
+    mine, other = marked(ours, "a"), marked(theirs, "b")
+    apart = near & (F.col("a") != F.col("b")) & (F.col("acomp") != F.col("bcomp"))
+    if sharpen:
+        mine, other = cut(mine), cut(other)
+        ids = cut(mine.select(F.col("a").alias("id")).unionByName(other.select(F.col("b").alias("id"))).distinct())
+        sharp = cut(sharpen(ids))
+        mine = mine.join(sharp.select(F.col("id").alias("a"), F.col("sharp").alias("asharp")), "a")
+        other = other.join(sharp.select(F.col("id").alias("b"), F.col("sharp").alias("bsharp")), "b")
+        differ = F.aggregate(F.zip_with("asharp", "bsharp", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
+        apart = apart & (differ <= sharp_radius)
+    rest = mine.join(other, "key").where(apart).select(*pair)
     return first.unionByName(check(rest.select(*pair).distinct()))
