@@ -159,6 +159,37 @@ def test_near_keeps_one_of_each_group(spark):
     assert kept == [4 * g for g in range(15)] + [1000 + i for i in range(30)]
 
 
+def test_near_misses_no_copy(spark):
+    """Texts with words appended, cut off or changed, long and short, and a passage in all: against the similarity of every pair."""
+    random.seed(8)
+    vocab = [f"v{i}" for i in range(3000)]
+    passage = [random.choice(vocab) for _ in range(30)]
+    texts = []
+    for g in range(150):
+        w = [random.choice(vocab) for _ in range(random.choice([7, 12, 40, 150, 300]))] + (passage if g % 3 == 0 else [])
+        n = len(w)
+        texts += [w, w + [random.choice(vocab) for _ in range(random.randint(1, max(1, n // 6)))], w[: n - random.randint(1, max(1, n // 6))]]
+        v = w[:]
+        v[random.randrange(n)] = "x"
+        texts.append(v)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in texts]
+    first = list(range(len(sets)))
+
+    def find(i):
+        while first[i] != i:
+            i = first[i]
+        return i
+
+    for i, s in enumerate(sets):
+        for j in range(i):
+            both = len(s & sets[j])
+            if 10 * both >= 8 * (len(s) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                first[max(a, b)] = min(a, b)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in near.keep_one(df).collect()) == [i for i in range(len(texts)) if find(i) == i]
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):
