@@ -10,6 +10,8 @@ A window without any shingle of the item has similarity 0, so only windows that
 item of their size are fingerprinted; the result is the same and most of a corpus is passed over
 after one rolling hash a word.
 
+A document shorter than an item is its own one window for it, and verified without the index.
+
 The benchmark goes to the executors in blocks of bounded size, and documents are scanned once for
 each block: no shuffle, and no document is held beyond its own batch.
 """
@@ -93,6 +95,8 @@ class Index:
         every = np.concatenate([h for _, h in self.items]) if self.items else np.zeros(0, np.uint64)
         pairs = np.unique(np.stack([every, self.sizes[owner].astype(np.uint64)], axis=1), axis=0) if len(every) else np.zeros((0, 2), np.uint64)
         self.shingle, self.shingle_size = np.ascontiguousarray(pairs[:, 0]), pairs[:, 1].astype(np.int64)
+        order = np.argsort(every)
+        self.sorted, self.owner = every[order], owner[order]
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.shingle & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         edges = [64 * k // (radius + 1) for k in range(radius + 2)]
@@ -116,6 +120,21 @@ class Index:
             if len(at):
                 yield i, at
 
+    def longer(self, h: np.ndarray, least: float) -> list[tuple[int, int, int, float]]:
+        """Rows of ``search`` for items of more shingles than ``h``, to which all of it is compared."""
+        lo, hi = np.searchsorted(self.sorted, h, "left"), np.searchsorted(self.sorted, h, "right")
+        n = hi - lo
+        owners = self.owner[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+        # a shingle that both repeat counts more than once here, never less than in the similarity
+        some, shared = np.unique(owners, return_counts=True)
+        size = self.sizes[some]
+        some = some[(size > len(h)) & (shared >= least / (1 + least) * (size + len(h)) - 1e-9)]
+        out = []
+        for i in some.tolist():
+            if (s := similarity(h, self.items[i][1])) >= least:
+                out.append((self.items[i][0], 0, int(np.bitwise_count(_window_prints(h, len(h))[0] ^ self.prints[i])), s))
+        return out
+
     def search(self, h: np.ndarray, least: float) -> list[tuple[int, int, int, float]]:
         """(item id, first word, differing bits, similarity) of the best window for each item found in shingles ``h``."""
         at = np.nonzero(self.maybe[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])[0]
@@ -129,7 +148,7 @@ class Index:
         n = hi - lo
         where = np.repeat(at, n)
         sizes = self.shingle_size[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-        out = []
+        out = self.longer(h, least) if len(h) < sizes.max() else []
         for size in np.unique(sizes).tolist():
             if size > len(h):
                 continue
@@ -167,6 +186,8 @@ def _indexes(benchmark: DataFrame, id_col: str, text_col: str):
 def matches(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, first_word, differing_bits, similarity): the best window of each document for each item.
 
+    For an item with more words than the document, the window is the whole document, at any differing bits.
+
     Words are runs of letters and digits, lower case. Items of fewer than five words have no shingle and
     are not searched; null items and null or empty documents match nothing; repeated rows give repeated
     rows. Other columns are ignored.

@@ -291,6 +291,31 @@ def test_windows_by_brute_force(spark):
     assert found == want and len(want) >= 30
 
 
+def test_documents_shorter_than_items(spark):
+    random.seed(9)
+    vocab = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(random.choice(vocab) for _ in range(random.randint(6, 60)))) for i in range(60)]
+    items += [(60, "a b c d e " * 9), (61, "a b c d e " * 8 + "f")]
+    rows = []
+    for i, x in items:
+        w = x.split()
+        for k in range(1, len(w) // 3):
+            rows += [(len(rows), " ".join(w[k:])), (len(rows) + 1, " ".join(w[: len(w) - k])), (len(rows) + 2, " ".join(["new", *w[k + 1 :]]))]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    grams = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    want = set()
+    for k, t in rows:
+        for i, x in items:
+            g, h = grams(x.split()), grams(t.split())
+            both = sum(min(g.count(y), h.count(y)) for y in set(g))
+            if len(h) < len(g) and both / (len(g) + len(h) - both) >= 0.8:
+                want.add((k, i))
+    longer = {i: len(x.split()) for i, x in items}
+    found = {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, bench).collect()}
+    assert {(k, i) for k, i in found if len(rows[k][1].split()) < longer[i]} == want and len(want) >= 100
+    assert not {r.doc_id for r in decontaminate.clean(docs, bench).collect()} & {k for k, _ in want}
+
+
 def test_spot_signatures(spark):
     rows = [(i, " ".join(random.Random(i).choices(["the", "and", "cat", "dog", "sun", "of", "sea"], k=60))) for i in range(30)] + [(30, ""), (31, None), (32, "😀é" * 9)]
     anchors = set(spotsigs.ANCHORS)
