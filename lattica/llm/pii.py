@@ -31,11 +31,11 @@ PATTERNS = [
     r"(?<![\p{L}\p{N}])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)",
     r"(?<![\p{L}\p{N}-])\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}])",
     r"(?<![\p{L}\p{N}])AKIA[0-9A-Z]{16}(?![\p{L}\p{N}])",
-    r"(?<=(?:password|passwd|pwd|secret|token|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?)[\p{L}\p{N}+/_.-]{6,}",
+    r"(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?)[\p{L}\p{N}+/_.-]{6,}",
 ]
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS)
 #: A row without any of these can't hold an entity.
-MAYBE = rf"[@0-9]|(?i:password|passwd|pwd|secret|token|api_?key)|{_TITLE}"
+MAYBE = rf"[@0-9]|AKIA|(?i:password|passwd|pwd|secret|token|api_?key)|{_TITLE}"
 # Given names by script and gender, and syllables of surnames.
 NAMES = {
     "latin": ("James John Robert Michael David Thomas Daniel Paul Mark George Peter Martin", "Mary Anna Laura Sarah Emma Julia Clara Helen Alice Nora Eva Ruth"),
