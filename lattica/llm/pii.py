@@ -116,13 +116,22 @@ def _pick(words: str, b: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, some)), b % len(some) + 1)
 
 
-def _name(canon: Column, h: Column) -> Column:
-    """Given name (if there was one) and surname in the script and for the gender of ``canon`` (g:words)."""
+def _added(counter: Column, one) -> Column:
+    """``one`` of 1 to ``counter`` strung together: each further draw has a larger space, so that draws end."""
+    return F.when(counter > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(counter, F.lit(1))), one), "")).otherwise("")
+
+
+def _name(canon: Column, h: Column, counter: Column | None = None) -> Column:
+    """Given name (if there was one) and surname in the script and for the gender of ``canon`` (g:words).
+
+    The surname has three syllables, and one more for each further draw.
+    """
     female = canon.startswith("f:")
     out = None
     for script, pattern in (("cyrillic", r"\p{IsCyrillic}"), ("greek", r"\p{IsGreek}"), ("latin", "")):
         given = F.when(female, _pick(NAMES[script][1], _byte(h, F.lit(0)))).otherwise(_pick(NAMES[script][0], _byte(h, F.lit(0))))
-        last = F.initcap(F.concat(*[_pick(SYLLABLES[script], _byte(h, F.lit(i))) for i in (1, 2, 3)]))
+        more = [] if counter is None else [_added(counter, lambda i: _pick(SYLLABLES[script], _byte(h, i + 3)))]  # noqa: B023
+        last = F.initcap(F.concat(*[_pick(SYLLABLES[script], _byte(h, F.lit(i))) for i in (1, 2, 3)], *more))
         whole = F.when(canon.contains(" "), F.concat(given, F.lit(" "), last)).otherwise(last)
         out = F.when(canon.rlike(pattern), whole) if out is None else out.when(canon.rlike(pattern), whole) if pattern else out.otherwise(whole)
     return out
@@ -133,19 +142,23 @@ def keyed(canon: Column, k: Column, counter: Column, key: str) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), k, counter.cast("string"), canon), 512)
 
 
-def surrogate(canon: Column, k: Column, h: Column, key: str = KEY) -> Column:
-    """The canonical surrogate of a canonical entity, drawn from its digest ``h``."""
+def surrogate(canon: Column, k: Column, h: Column, key: str = KEY, counter: Column | None = None) -> Column:
+    """The canonical surrogate of a canonical entity, drawn from its digest ``h``.
+
+    Names, mailboxes and secrets are the longer, the larger ``counter`` is; numbers keep their length.
+    """
+    more = F.lit("") if counter is None else _added(counter, lambda i: F.substring(h, i + 100, F.lit(1)))
     local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
     d = F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), domain), 512)
     ip = F.concat_ws(".", *[(_byte(h, F.lit(i)) % m + a).cast("string") for i, (m, a) in enumerate(((223, 1), (256, 0), (256, 0), (254, 1)))])
     return (
-        F.when(k == "email", F.concat(_letters(local, h), F.lit("@d"), F.substring(d, 1, 8), F.lit(".example")))
-        .when(k == "name", _name(canon, h))
+        F.when(k == "email", F.concat(_letters(local, h), more, F.lit("@d"), F.substring(d, 1, 8), F.lit(".example")))
+        .when(k == "name", _name(canon, h, counter))
         .when(k == "ip", ip)
         .when(k == "ssn", F.concat(F.lit("9"), F.substring(_letters(canon, h), 2, 10)))
         .when(k.isin("phone", "card"), _digits(canon, k, h))
-        .when(canon.rlike("^[0-9a-f]+$"), F.substring(F.repeat(h, F.floor(F.length(canon) / 128).cast("int") + 1), F.lit(1), F.length(canon)))
-        .otherwise(_letters(canon, h))
+        .when(canon.rlike("^[0-9a-f]+$"), F.concat(F.substring(F.repeat(h, F.floor(F.length(canon) / 128).cast("int") + 1), F.lit(1), F.length(canon)), more))
+        .otherwise(F.concat(_letters(canon, h), more))
     )
 
 
@@ -165,16 +178,18 @@ def redrawn(entities: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, canon, counter) of the distinct ``entities`` (kind, canon) whose first surrogate isn't free.
 
     A surrogate is free if it is no entity of the corpus and no other entity has it; of several that
-    would share one, the smallest keeps it.
+    would share one, the smallest keeps it. Names are compared in lower case, whatever the title.
     """
     entities = cut(entities.distinct())
     tried = entities.withColumn("counter", F.lit(0))
     taken, moved = None, None
+    name = F.col("kind") == "name"
+    real = entities.select("kind", F.when(name, F.substring("canon", 3, 1 << 30)).otherwise(F.col("canon")).alias("s")).distinct()
     for n in range(ROUNDS):
         tried = tried.withColumn("h", keyed(F.col("canon"), F.col("kind"), F.col("counter"), key))
-        tried = cut(tried.withColumn("s", surrogate(F.col("canon"), F.col("kind"), F.col("h"), key)).drop("h"))
+        tried = cut(tried.withColumn("s", surrogate(F.col("canon"), F.col("kind"), F.col("h"), key, F.col("counter"))).withColumn("s", F.when(name, F.lower("s")).otherwise(F.col("s"))).drop("h"))
         first = tried.groupBy("kind", "s").agg(F.min("canon").alias("canon"))
-        first = first.join(entities.select("kind", F.col("canon").alias("s")), ["kind", "s"], "left_anti")
+        first = first.join(real, ["kind", "s"], "left_anti")
         if taken is not None:
             first = first.join(taken, ["kind", "s"], "left_anti")
         won = tried.join(first.select("kind", "canon"), ["kind", "canon"], "left_semi")
@@ -211,6 +226,7 @@ def replace(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: s
 
     # step by step, so that kinds, canonical forms and digests are computed once an entity
     rows = rows.withColumn("__pii_e", F.transform("__pii_e", known))
+    no_more = False
     if moved.take(1):
         held = rows.where(F.size("__pii_e") > 0).select(row.alias("row"), F.explode("__pii_e").alias("x")).select("row", F.col("x.i").alias("pos"), F.col("x.k").alias("kind"), canonical(F.col("x.e"), F.col("x.k")).alias("canon"))
         counters = held.join(moved, ["kind", "canon"]).select("row", "pos", "counter").distinct()
@@ -219,9 +235,10 @@ def replace(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: s
         counter = lambda x: F.coalesce(F.element_at("__pii_counter", x["i"]), F.lit(0))
     else:
         counter = lambda x: F.lit(0)
+        no_more = True
     rows = rows.withColumn("__pii_c", F.transform("__pii_e", lambda x: F.struct(x["e"].alias("e"), x["k"].alias("k"), canonical(x["e"], x["k"]).alias("c"), counter(x).alias("n"))))
-    rows = rows.withColumn("__pii_h", F.transform("__pii_c", lambda x: F.struct(x["e"].alias("e"), x["k"].alias("k"), x["c"].alias("c"), keyed(x["c"], x["k"], x["n"], key).alias("h"))))
-    rows = rows.withColumn("__pii_s", F.transform("__pii_h", lambda x: F.struct(x["e"].alias("e"), x["k"].alias("k"), surrogate(x["c"], x["k"], x["h"], key).alias("s"))))
+    rows = rows.withColumn("__pii_h", F.transform("__pii_c", lambda x: F.struct(x["e"].alias("e"), x["k"].alias("k"), x["c"].alias("c"), keyed(x["c"], x["k"], x["n"], key).alias("h"), x["n"].alias("n"))))
+    rows = rows.withColumn("__pii_s", F.transform("__pii_h", lambda x: F.struct(x["e"].alias("e"), x["k"].alias("k"), surrogate(x["c"], x["k"], x["h"], key, None if no_more else x["n"]).alias("s"))))
     drawn = F.transform("__pii_s", lambda x: written(x["e"], x["k"], x["s"]))
     # what stands between the entities, and the surrogates: columns of their own, so that each is computed once
     some = F.size("__pii_e") > 0
