@@ -5,6 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from lattica.operators import graph
 from lattica.plans import catalogue
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -42,3 +43,12 @@ def test_runs(spark, data, name):
 def test_every_oracle_has_a_query():
     assert set(catalogue.ORACLES) <= set(catalogue.QUERIES)
     assert Path(__file__).exists()
+
+
+def test_gap_candidates_see_all_parts(spark, tmp_path, monkeypatch):
+    p = spark.range(1, 601).selectExpr("id as p_partkey", "concat('b', id) as p_brand", "concat('t', id % 7) as p_type", "cast(id % 5 as int) as p_size")
+    p.write.parquet(str(tmp_path / "part.parquet"))
+    whole, seen = graph.gaps, []
+    monkeypatch.setattr(graph, "gaps", lambda e, c: seen.append(e.where("relation = 'calls'").count()) or whole(e, c))
+    catalogue.QUERIES["gap_candidates"](spark, str(tmp_path))
+    assert seen == [600]
