@@ -9,7 +9,8 @@ substrings at those positions. Candidates carry a 64-bit parity sketch of their
 one edit flips at most four of its bits, so pairs that differ in more than 4 tau bits are left
 inside the join. The rest are verified by a banded bit-parallel edit distance.
 
-Texts are never shuffled for the join: its rows hold hashes, computed by vector operations.
+Texts are never shuffled for the join: its rows hold hashes, computed by vector operations. The index is
+stored once, and the shuffle files of each step go when it ends (:func:`lattica.llm.common.cut`).
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_links, connected_components, cut, small
+from .common import bucket_links, connected_components, cut, drop, small
 
 TAU = 2
 #: Shorter lines stay as they are: a few characters repeat by chance.
@@ -31,6 +32,8 @@ MIN_CHARS = 20
 BLANK = " \t\r"
 #: Lines and characters that one round of key generation holds; lines of which a task knows that it has seen them.
 ROUND_LINES, ROUND_CHARS, SEEN_LINES = 4_000, 1_000_000, 200_000
+#: Keys of longer lines are hashes of the substrings themselves, which take no arrays over all characters.
+LONG_LINE = 200_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -39,20 +42,28 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 def edit_distance(a: str, b: str, tau: int) -> int:
     """Edits between a and b, or tau + 1 if there are more.
 
-    Register e has a bit for each diagonal of the band: reachable with at most e edits.
+    Register e has a bit for each diagonal of the band: reachable with at most e edits. The window of ``a`` that
+    the band covers moves along with ``b``, so that very long lines cost time in proportion to their length.
     """
     shift = len(a) - len(b)
     if abs(shift) > tau:
         return tau + 1
-    at: dict[str, int] = {}
-    for i, c in enumerate(a):
-        at[c] = at.get(c, 0) | 1 << i + tau
     band = (1 << 2 * tau + 1) - 1
+    seen: dict[str, int] = {}  # places at which a character enters the window, counted from its last moves
+    at: dict[str, int] = {}
     r = [1 << tau]
     for _ in range(tau):
         r.append(r[-1] | r[-1] << 1 & band)
+    for i, c in enumerate(a[:tau]):
+        at[c] = at.get(c, 0) | 1 << i + tau
+        seen[c] = 0
     for j, c in enumerate(b):
-        match, before, left = at.get(c, 0) >> j & band, 0, 0
+        if j + tau < len(a):
+            new = a[j + tau]
+            at[new] = (at.get(new, 0) >> j - seen.get(new, j)) | 1 << 2 * tau
+            seen[new] = j
+        match = (at.get(c, 0) >> j - seen.get(c, j)) & band
+        before, left = 0, 0
         for e in range(tau + 1):
             was = r[e]
             r[e] = left = (was & match | before | before >> 1 | left << 1) & band
@@ -105,8 +116,9 @@ class _Round:
         return h ^ (h >> np.uint64(29))
 
     def index(self, tau: int) -> tuple[np.ndarray, np.ndarray]:
-        rows = np.arange(len(self.size))
-        keys = [self.key(rows, s, n, self.size, k) for k, (s, n) in enumerate(_segments(self.size, tau))]
+        rows = np.nonzero(self.size <= LONG_LINE)[0]
+        size = self.size[rows]
+        keys = [self.key(rows, s, n, size, k) for k, (s, n) in enumerate(_segments(size, tau))]
         return np.tile(rows, tau + 1), np.concatenate(keys)
 
     def probes(self, tau: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,17 +126,43 @@ class _Round:
         for less in range(tau + 1):
             length = self.size - less
             for k, (s, n) in enumerate(_segments(length, tau)):
-                for move in range(-tau, tau + 1):
-                    # edits before the segment: at most k, and what follows it allows tau - k more
-                    if not max(-k, less - (tau - k)) <= move <= min(k, less + (tau - k)):
-                        continue
-                    ok = np.nonzero((s + move >= 0) & (s + move + n <= self.size) & (n > 0))[0]
+                for move in _moves(k, less, tau):
+                    ok = np.nonzero((s + move >= 0) & (s + move + n <= self.size) & (n > 0) & (length <= LONG_LINE))[0]
                     rows.append(ok)
                     keys.append(self.key(ok, (s + move)[ok], n[ok], length[ok], k))
         return np.concatenate(rows), np.concatenate(keys)
 
 
+def _moves(segment: int, less: int, tau: int) -> range:
+    """Shifts of a segment in a line ``less`` characters longer: at most as many edits as segments before it, and the rest after it."""
+    return range(max(-segment, less - (tau - segment)), min(segment, less + (tau - segment)) + 1)
+
+
+def _long_keys(line: str, tau: int, probe: bool) -> list[int]:
+    """Keys of a line for lengths above LONG_LINE."""
+    out = []
+    for less in range(tau + 1 if probe else 1):
+        if (length := len(line) - less) <= LONG_LINE:
+            continue
+        for k, (s, n) in enumerate(_segments(np.array([length]), tau)):
+            for move in _moves(k, less, tau) if probe else (0,):
+                at = int(s[0]) + move
+                if 0 <= at and at + int(n[0]) <= len(line):
+                    out.append(xxhash.xxh64_intdigest(line[at : at + int(n[0])].encode("utf-32-le", "surrogatepass"), length * 64 + k))
+    return out
+
+
+def _long_bits(line: str) -> int:
+    """The parity sketch of a long line, piece by piece."""
+    out = 0
+    for at in range(0, len(line) - 1, LONG_LINE):
+        out ^= int(_Round([line[at : at + LONG_LINE + 1]]).bits[0])
+    return out
+
+
 def _key_rows(docs: DataFrame, text_col: str, tau: int, min_chars: int, probe: bool) -> DataFrame:
+    """(key, id, bits) of the distinct lines of each task, id being a line's XXH64."""
+
     def rounds(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str]]:
         seen: set[int] = set()
         held, chars = [], 0
@@ -145,18 +183,29 @@ def _key_rows(docs: DataFrame, text_col: str, tau: int, min_chars: int, probe: b
         if held:
             yield held
 
+    def identity(line: str) -> int:
+        return xxhash.xxh64_intdigest(line.encode("utf-8", "replace"), 42)
+
+    def batch(keys: np.ndarray, ids: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.uint64, copy=False).view(np.int64)) for x in (keys, ids, bits)], names=["key", "id", "bits"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lines in rounds(batches):
-            ids = np.fromiter((xxhash.xxh64_intdigest(x.encode("utf-8", "replace"), 42) for x in lines), np.uint64, len(lines)).view(np.int64)
+            for line in lines:
+                if len(line) > LONG_LINE:
+                    keys = np.array(_long_keys(line, tau, probe), np.uint64)
+                    yield batch(keys, np.full(len(keys), identity(line), np.uint64), np.full(len(keys), _long_bits(line), np.uint64))
+            lines = [x for x in lines if len(x) <= LONG_LINE + tau]
+            if not lines:
+                continue
+            ids = np.fromiter(map(identity, lines), np.uint64, len(lines))
             r = _Round(lines)
             rows, keys = r.probes(tau) if probe else r.index(tau)
             for at in range(0, len(rows), 50_000):
-                part, own = keys[at : at + 50_000], rows[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array(ids[own]), pa.array(r.bits[own].view(np.int64))], names=["key", "id", "bits"])
+                own = rows[at : at + 50_000]
+                yield batch(keys[at : at + 50_000], ids[own], r.bits[own])
 
-    found = docs.select(text_col).mapInArrow(run, "key bigint, id bigint, bits bigint")
-    # a line that many tasks have seen is indexed once, in the partitioning that the join needs anyway
-    return found if probe else found.repartition("key").distinct()
+    return docs.select(text_col).mapInArrow(run, "key bigint, id bigint, bits bigint")
 
 
 def _line(col: Column) -> Column:
@@ -181,12 +230,12 @@ def links(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, text_col:
     """(a, b) of XXH64 hashes of distinct lines within ``tau`` edits, complete up to connectivity."""
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs)
         ids = cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
         line = F.explode(F.split(text_col, "\n"))
         texts = docs.select(line.alias("line")).select(_line(F.col("line")).alias("line")).where(F.length("line") >= min_chars)
         texts = texts.select(F.xxhash64("line").alias("id"), "line").join(small(ids, ids.count()), "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))
         texts = cut(texts)
+        drop(ids)
         with_both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,31 +244,40 @@ def links(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, text_col:
                 near = [edit_distance(p, q, tau) <= tau for p, q in zip(x, y)]
                 yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-        return with_both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+        out = cut(with_both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"))
+        drop(texts)
+        return out
 
-    index = _key_rows(docs, text_col, tau, min_chars, False)
-    probe = _key_rows(docs, text_col, tau, min_chars, True)
-    return bucket_links(index, probe, 4 * tau, verify)
+    # a line that many tasks have seen is indexed once
+    index = cut(_key_rows(docs, text_col, tau, min_chars, False).distinct())
+    out = bucket_links(index, _key_rows(docs, text_col, tau, min_chars, True), 4 * tau, verify)
+    drop(index)
+    return out
 
 
 def dropped_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, row, exact, near): for each row that loses lines, the positions that repeat an equal or a near line."""
-    rows = _exploded(docs, id_col, text_col).where(F.length("line") >= min_chars).select("id", "row", "pos", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("g"))
-    firsts = cut(rows.groupBy("h", "g").agg(F.min(_place()).alias("own"), F.count("*").alias("n")))
-    comp = cut(connected_components(links(docs, tau, min_chars, text_col)))
-    member = firsts.join(comp, firsts.h == comp.node)
-    lead = member.groupBy("component").agg(F.min("own").alias("lead"))
-    classes = member.join(lead, "component").select("h", "g", "own", "lead")
-    # only lines that repeat, exactly or nearly, are joined back
-    repeated = firsts.where("n > 1").select("h", "g", "own").join(classes.select("h", "g", "lead"), ["h", "g"], "left").select("h", "g", "own", F.coalesce("lead", "own").alias("lead"))
-    single = classes.join(firsts.where("n = 1"), ["h", "g"], "left_semi")
-    known = cut(repeated.unionByName(single.select("h", "g", "own", "lead")))
+    places = cut(_exploded(docs, id_col, text_col).where(F.length("line") >= min_chars).select("id", "row", "pos", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("g")))
+    found = links(docs, tau, min_chars, text_col)
+    comp = connected_components(found)
+    drop(found)
+    # lines that occur once and are near no other take no part from here on
+    repeated = places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", F.lit(None).cast("bigint").alias("component"))
+    wanted = cut(repeated.unionByName(comp.select(F.col("node").alias("h"), "component")).groupBy("h").agg(F.max("component").alias("component")))
     here = _place()
-    gone = rows.join(small(known, known.count()), ["h", "g"]).where(~here.eqNullSafe(F.col("lead")))
-    return gone.groupBy("id", "row").agg(
-        F.collect_list(F.when(~here.eqNullSafe(F.col("own")), F.col("pos"))).alias("exact"),
-        F.collect_list(F.when(here.eqNullSafe(F.col("own")), F.col("pos"))).alias("near"),
+    rows = cut(places.join(small(wanted, wanted.count()), "h").select("id", "row", "pos", "h", "g", "component", here.alias("here")))
+    drop(places, comp, wanted)
+    firsts = cut(rows.groupBy("h", "g", "component").agg(F.min("here").alias("own")))
+    lead = firsts.where("component is not null").groupBy("component").agg(F.min("own").alias("lead"))
+    known = cut(firsts.join(lead, "component", "left").select("h", "g", "own", F.coalesce("lead", "own").alias("lead")))
+    drop(firsts)
+    gone = rows.join(small(known, known.count()), ["h", "g"]).where(F.col("here") != F.col("lead"))
+    again = F.col("here") != F.col("own")
+    out = cut(
+        gone.groupBy("id", "row").agg(F.collect_set(F.when(again, F.col("pos"))).alias("exact"), F.collect_set(F.when(~again, F.col("pos"))).alias("near"))
     )
+    drop(rows, known)
+    return out
 
 
 def dedup(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,18 +285,19 @@ def dedup(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, id_col: s
 
     Null texts stay null (0 lines). Equal lines of one document count as repeats. Rows that repeat a whole
     row (id and text) share their positions and keep the same lines; a null id is an id of its own, before
-    all others. Lines under ``min_chars`` characters always stay. An empty table gives an empty result.
+    all others. Lines under ``min_chars`` characters always stay. Columns of ``docs`` named _lines, _exact or
+    _near are replaced. An empty table gives an empty result.
     """
     gone = dropped_lines(docs, tau, min_chars, id_col, text_col)
-    gone = gone.select(*[F.col(c).alias(f"__line_{c}") for c in gone.columns])
+    gone = gone.select(*[F.col(c).alias(f"__line_{c}") for c in gone.columns], F.array_union("exact", "near").alias("__line_all"))
     row = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col))
-    lines, exact, near = F.split(text_col, "\n"), F.col("__line_exact"), F.col("__line_near")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.array_union(exact, near))
-    joined = docs.withColumn("__line_key", row).join(gone, F.col("__line_key").eqNullSafe(F.col("__line_row")) & F.col(id_col).eqNullSafe(F.col("__line_id")), "left")
-    return (
-        joined.withColumn("_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)))
-        .withColumn("_exact", F.when(exact.isNull(), 0).otherwise(F.size(exact)))
-        .withColumn("_near", F.when(near.isNull(), 0).otherwise(F.size(near)))
-        .withColumn(text_col, F.when(exact.isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")))
-        .drop("__line_id", "__line_row", "__line_exact", "__line_near", "__line_key")
-    )
+    # a text travels as its lines, which make it up again, and is split once
+    split = docs.drop("_lines", "_exact", "_near").withColumn("__line_key", row).withColumn("__line_of", F.split(text_col, "\n"))
+    split = split.select(*[F.col("__line_of").alias(c) if c == text_col else c for c in split.columns if c != "__line_of"])
+    joined = split.join(gone.hint("shuffle_hash"), F.col("__line_key").eqNullSafe(F.col("__line_row")) & F.col(id_col).eqNullSafe(F.col("__line_id")), "left")
+    n = F.coalesce(F.size(text_col), F.lit(0))
+    count = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(text_col) - 1), F.col("__line_all")), lambda i: F.get(text_col, i))
+    names = [c for c in docs.columns if c not in ("_lines", "_exact", "_near")]
+    text = F.array_join(F.when(F.col("__line_all").isNull(), F.col(text_col)).otherwise(kept), "\n")
+    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in names], F.when(F.col(text_col).isNull(), 0).otherwise(n).alias("_lines"), count("__line_exact").alias("_exact"), count("__line_near").alias("_near"))
