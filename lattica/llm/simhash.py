@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_KEY, bucket_links, connected_components, cut
+from .common import HOT_KEY, bucket_links, connected_components, cut, drop, small
 
 # The Golay code's generator polynomial x^11+x^9+x^7+x^6+x^5+x+1, and its lengths.
 GOLAY_POLYNOMIAL = 0b101011100011
@@ -161,7 +161,10 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
 
     # by chance alone, an exact segment of 21 bits is shared by this many
     chance = fps.count() >> 21
-    return bucket_links(keyed(False), keyed(True), radius, hot_rows=max(HOT_KEY, 16 * chance))
+    index = cut(keyed(False))
+    out = bucket_links(index, keyed(True), radius, hot_rows=max(HOT_KEY, 16 * chance))
+    drop(index)
+    return out
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,7 +176,15 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: st
     """
     marked = cut(fingerprints(docs, words, id_col, text_col))
     fps = cut(marked.groupBy("fp").agg(F.min(id_col).alias("first")))
-    comp = cut(connected_components(links(fps, radius)))
-    of = fps.join(comp, fps.fp == comp.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    lowest = of.groupBy("component").agg(F.min("first").alias("component_id"))
-    return marked.join(of.join(lowest, "component").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+    found = links(fps, radius)
+    comp = connected_components(found)
+    drop(found)
+    n = comp.count()
+    member = fps.join(small(comp, n), fps.fp == comp.node)
+    lowest = member.groupBy("component").agg(F.min("first").alias("component_id"))
+    of = cut(member.join(small(lowest, n), "component").select(F.col("fp").alias("of"), "component_id"))
+    # fingerprints that many rows share and those in components: few beside the rows that stand alone
+    alone = fps.join(small(of, n), fps.fp == of.of, "left").select(F.col("fp").alias("of"), F.coalesce("component_id", "first").alias("component_id"))
+    out = marked.join(alone, marked.fp == alone.of).select(id_col, "fp", "component_id")
+    drop(comp)
+    return out
