@@ -14,7 +14,7 @@ STRUCTURAL_BOOST = 0.35
 BM25_K1, BM25_B = 1.5, 0.75
 SPLADE_TOP, SPLADE_KEEP, SPLADE_SPREAD = 30, 50, 0.1
 VIEW_WEIGHTS = {"callers": 1.0, "callees": 0.9, "bases": 0.8, "subclasses": 0.7, "importers": 0.5}
-GAP_THRESHOLD, EXACT_NODES, SAMPLED_SOURCES = 0.005, 2000, 100
+GAP_THRESHOLD = 0.005
 RELATION_WEIGHTS = {"calls": 1.0, "inherits": 0.9, "imports": 0.8, "imports_from": 0.8, "contains": 0.3, "rationale_for": 0.2}
 OTHER_RELATION_WEIGHT = 0.5
 COHESION, MIN_PEERS, MAX_FINDINGS, MAX_DRIFT = 0.6, 3, 5, 10

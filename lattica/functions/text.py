@@ -89,21 +89,23 @@ def intent(query: Column, threshold: float = 0.6) -> Column:
     return F.when(code > docs * (1 + threshold), "code").when(docs > code * (1 + threshold), "docs").otherwise("hybrid")
 
 
-# Suffixes and prefixes that tell the domain of a node id.
-DECISION_PREFIX = r"^(decision_|adr_|compliance:)"
-CODE_ID = r"(__fn|__cls|__sym|__method|_py|_ts|_js|_go|_rs|_java)(_|$)|\.(py|ts|tsx|js|jsx|go|rs|java|rb|php|c|h|cpp|cs)$"
+# What tells the domain of a node id.
+DECISION_PREFIXES = ["archive_", "decision_"]
+CODE_ENDS = "__fn _fn __cls _cls __var _var".split()
+FILE_ENDS = "_py _ts _tsx _js _jsx _c _h _cpp _hpp _cs _go _java _rb _rs _php _swift _kt _scala _lua _pl _sh _sql _toml _yaml _yml _json _txt _css _scss _html _xml".split()
 CODE_PATH = r"\.(py|ts|tsx|js|jsx|c|h|cpp|hpp|cs|go|java|rb|rs|php|swift|kt|sql|sh|toml)$"
 DOC_PATH = r"\.(md|mdoc|rst|txt|doc|docx)$"
 
 
 def domain(node: Column) -> Column:
     """decision, document, code or unknown, by ordered rules on a node id."""
+    ends = lambda words: node.rlike(f"({'|'.join(words)})$")
     return (
         F.when(node.isNull() | (node == ""), "unknown")
-        .when(node.rlike(DECISION_PREFIX) | node.rlike(r"^community_-?\d+$"), "decision")
-        .when(node.rlike(r"__h\d+$") | (node.endswith("_md") & ~node.startswith("archive_")), "document")
-        .when(node.rlike(CODE_ID) | node.startswith("benchmark_"), "code")
-        .when(node.rlike(r"__?rationale"), "decision")
+        .when(node.rlike(f"^({'|'.join(DECISION_PREFIXES)})") | node.rlike(r"^community_-?\d+$"), "decision")
+        .when(node.rlike(r"__h\d+$") | node.endswith("_md"), "document")
+        .when(ends(CODE_ENDS) | node.rlike(r"__\w+_sym$") | ends(FILE_ENDS) | node.startswith("benchmark_"), "code")
+        .when(node.contains("rationale"), "decision")
         .when(node.startswith("/") & F.lower(node).rlike(CODE_PATH), "code")
         .when(node.startswith("/") & F.lower(node).rlike(DOC_PATH), "document")
         .otherwise("unknown")

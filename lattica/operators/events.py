@@ -76,6 +76,16 @@ def audit_search(audit: DataFrame, category: str | None = None, action: str | No
     return out.orderBy("line_no").limit(limit) if limit else out
 
 
+# Categories and words of actions by which an event counts for a control family.
+CONTROLS = {"AC": (["security", "mcp", "auth", "rbac"], "access|rbac|deny|allow|rate_limit"), "SI": (["backend", "system", "admin"], "switch_backend|build|integrity|failure")}
+
+
+def control_counts(audit: DataFrame) -> DataFrame:
+    """One row (events, AU, AC, SI): all events count for AU, others by their category or action."""
+    hit = {k: F.col("category").isin(names) | F.lower("action").rlike(words) for k, (names, words) in CONTROLS.items()}
+    return audit.agg(F.count("*").alias("events"), F.count("*").alias("AU"), *[F.count_if(F.coalesce(h, F.lit(False))).alias(k) for k, h in hit.items()])
+
+
 def audit_summary(audit: DataFrame) -> DataFrame:
     return audit.groupBy("category").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "success").alias("ok"), F.count_if(F.col("status") != "success").alias("failed"), F.max("timestamp").alias("last"))
 
@@ -91,16 +101,21 @@ ZERO = "0" * 64
 RUNS_TOGETHER = 64
 
 
-def chain_broken(audit: DataFrame, digest: Column) -> DataFrame:
+def chain_broken(audit: DataFrame, digest: Column, buckets: int = 256) -> DataFrame:
     """The first line (bad_line) of audit (line_no, sha256, ...) whose hash isn't ``digest`` of prev and the line; no row if none.
 
-    ``digest`` may use the column prev, the hash stored in the line before (zeros at first). Lines are
-    ordered within ranges of ``line_no`` and each range looks at the line before it by a join, so the log
-    isn't sorted in one task.
+    ``digest`` may use the column prev, the hash stored in the line before in order of line_no, whatever numbers are
+    missing (zeros at first, and after a line without a hash). Such lines, from before the chain, aren't checked. Ranges
+    of line_no look at the last line of the one before, so the log isn't sorted in one task.
     """
-    before = audit.select((F.col("line_no") + 1).alias("line_no"), F.col("sha256").alias("prev"))
-    linked = audit.join(before, "line_no", "left").withColumn("prev", F.coalesce(F.when(F.col("prev") != "", F.col("prev")), F.lit(ZERO)))
-    return linked.where(F.col("sha256") != digest).agg(F.min("line_no").alias("bad_line")).where("bad_line is not null")
+    low, high = audit.agg(F.min("line_no"), F.max("line_no")).first()
+    width = max(1, ((high or 0) - (low or 0)) // buckets + 1)
+    rows = audit.withColumn("_b", F.floor((F.col("line_no") - F.lit(low or 0)) / width))
+    ends = rows.groupBy("_b").agg(F.max_by(F.coalesce("sha256", F.lit("")), "line_no").alias("_last"))
+    ends = ends.withColumn("_end", F.lag("_last").over(Window.orderBy("_b"))).select("_b", "_end")  # at most ``buckets`` rows
+    before = F.lag(F.coalesce("sha256", F.lit(""))).over(Window.partitionBy("_b").orderBy("line_no"))
+    linked = rows.withColumn("prev", before).join(F.broadcast(ends), "_b").withColumn("prev", F.coalesce(F.nullif(F.coalesce("prev", "_end"), F.lit("")), F.lit(ZERO)))
+    return linked.where((F.coalesce("sha256", F.lit("")) != "") & (F.col("sha256") != digest)).agg(F.min("line_no").alias("bad_line")).where("bad_line is not null")
 
 
 def canonical_digest(columns: list[str]):

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..plans.lineage import cut
+from ..base import cut
+from .evaluation import percentile
 
 # Each relation's view from source to target and from target to source.
 RELATION_VIEWS = {
@@ -124,23 +125,55 @@ def role_tokens(label: Column) -> tuple[Column, Column]:
     return F.try_element_at(parts, F.lit(1)), F.try_element_at(parts, F.lit(-1))
 
 
+def _grouped(members: DataFrame, min_peers: int) -> DataFrame:
+    """``members`` with t1, t2 (role tokens), n, n1, n2 (members of the container, and with the same token) and by, the group that counts."""
+    first, last = role_tokens(F.col("label"))
+    m = members.withColumn("t1", first).withColumn("t2", last)
+    sizes = m.groupBy("container").agg(F.count("*").alias("n"))
+    one, two = (m.where(f"{t} is not null").groupBy("container", t).agg(F.count("*").alias(k)) for t, k in (("t1", "n1"), ("t2", "n2")))
+    m = m.join(sizes, "container").join(one, ["container", "t1"], "left").join(two, ["container", "t2"], "left")
+    fits = lambda c: F.when((F.col(c) >= min_peers + 1) & (F.col(c) <= F.col("n") - 1), F.col(c))
+    m = m.withColumn("f1", fits("n1")).withColumn("f2", fits("n2"))
+    by = F.when(F.col("f2").isNotNull() & (F.col("f1").isNull() | (F.col("f2") <= F.col("f1"))), F.concat(F.lit("2"), "t2")).when(F.col("f1").isNotNull(), F.concat(F.lit("1"), "t1")).otherwise(F.lit("0"))
+    return m.withColumn("by", by)
+
+
 def peer_groups(members: DataFrame, min_peers: int = C.MIN_PEERS) -> DataFrame:
     """(container, node, peer): siblings of ``members`` (container, node, label), narrowed by a shared role token.
 
     The narrowest group by last or first token of min_peers + 1 to n - 1 members wins, the last token on a
     tie; without one, all siblings are peers.
     """
-    first, last = role_tokens(F.col("label"))
-    m = members.withColumn("t1", first).withColumn("t2", last)
-    n = F.count("*").over(Window.partitionBy("container"))
-    n1, n2 = F.count("*").over(Window.partitionBy("container", "t1")), F.count("*").over(Window.partitionBy("container", "t2"))
-    m = m.withColumn("n", n).withColumn("n1", F.when(F.col("t1").isNotNull(), n1)).withColumn("n2", F.when(F.col("t2").isNotNull(), n2))
-    fits = lambda c: F.when((F.col(c) >= min_peers + 1) & (F.col(c) <= F.col("n") - 1), F.col(c))
-    m = m.withColumn("f1", fits("n1")).withColumn("f2", fits("n2"))
-    by = F.when(F.col("f2").isNotNull() & (F.col("f1").isNull() | (F.col("f2") <= F.col("f1"))), F.concat(F.lit("2"), "t2")).when(F.col("f1").isNotNull(), F.concat(F.lit("1"), "t1")).otherwise(F.lit("0"))
-    keyed = m.select("container", "node", by.alias("by"))
+    m = _grouped(members, min_peers)
     offers = m.select("container", F.col("node").alias("peer"), F.explode(F.array(F.lit("0"), F.concat(F.lit("1"), "t1"), F.concat(F.lit("2"), "t2"))).alias("by"))
-    return keyed.join(offers, ["container", "by"]).where("node <> peer").select("container", "node", "peer")
+    return m.select("container", "node", "by").join(offers, ["container", "by"]).where("node <> peer").select("container", "node", "peer")
+
+
+def peer_counts(members: DataFrame, min_peers: int = C.MIN_PEERS) -> DataFrame:
+    """(container, node, peers): how many peers ``peer_groups`` gives, without making the pairs; nodes without one left out."""
+    size = F.when(F.col("by").startswith("2"), F.col("f2")).when(F.col("by").startswith("1"), F.col("f1")).otherwise(F.col("n"))
+    return _grouped(members, min_peers).select("container", "node", (size - 1).alias("peers")).where("peers > 0")
+
+
+def drift(changed: DataFrame, members: DataFrame, uses: DataFrame, cohesion: float = C.COHESION, min_peers: int = C.MIN_PEERS, most: int = C.MAX_DRIFT) -> DataFrame:
+    """(node, associate, peers, size): changed nodes (node) that skip what most of their peer group use, the strongest ``most``.
+
+    A changed node's group is itself and its peers; ``uses`` is (node, associate).
+    """
+    group = _grouped(members, min_peers)
+    mine = group.join(changed.select("node").distinct(), "node", "left_semi").select("container", "by", F.col("node").alias("changed")).where("by is not null")
+    offers = group.select("container", "node", F.explode(F.array(F.lit("0"), F.concat(F.lit("1"), "t1"), F.concat(F.lit("2"), "t2"))).alias("by")).where("by is not null")
+    # one group serves all its changed nodes: its uses are counted once
+    wanted = mine.select("container", "by").distinct()
+    of = offers.join(wanted, ["container", "by"], "left_semi")
+    size = of.groupBy("container", "by").agg(F.count("*").alias("size")).where(F.col("size") >= min_peers + 1)
+    used = of.join(uses.select("node", "associate").distinct(), "node").where("node <> associate")
+    used = used.join(of.select("container", "by", F.col("node").alias("associate")), ["container", "by", "associate"], "left_anti")
+    peers = used.groupBy("container", "by", "associate").agg(F.count("*").alias("peers")).join(size, ["container", "by"])
+    shared = peers.where((F.col("peers") >= F.greatest(F.lit(min_peers), F.ceil(cohesion * F.col("size")))) & (F.col("peers") < F.col("size")))
+    skipped = mine.join(shared, ["container", "by"]).join(used.select("container", "by", "associate", F.col("node").alias("changed")), ["container", "by", "associate", "changed"], "left_anti")
+    found = skipped.groupBy(F.col("changed").alias("node"), "associate").agg(F.max(F.struct((F.col("peers") / F.col("size")).alias("share"), "peers", "size")).alias("m"))
+    return found.select("node", "associate", "m.peers", "m.size", "m.share").orderBy(F.desc("share"), F.desc("peers"), "node", "associate").limit(most).drop("share")
 
 
 def undirected(links: DataFrame) -> DataFrame:
@@ -155,63 +188,84 @@ def both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("other"), "distance").unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other"), "distance"))
 
 
-#: Edges of a graph that betweenness ships to every task; larger graphs are refused.
-MAX_SHIPPED_EDGES = 2_000_000
+#: Edges of a graph that betweenness ships to every task; larger graphs are refused. Cells of one task's matrices.
+MAX_SHIPPED_EDGES, BLOCK_CELLS = 2_000_000, 4_000_000
+
+
+def _dependencies(source: np.ndarray, n: int, tail: np.ndarray, head: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """What each of n nodes lies between, for a block of sources at once: a row a source.
+
+    Edges (tail, head, length) are sorted by head. Three equations over all edges are iterated until they hold:
+    distances are least sums, a node has as many shortest paths as the tails of its tight edges together, and a tail
+    gets of each head its share of paths.
+    """
+    rows = np.arange(len(source))
+    into, first = np.unique(head, return_index=True)
+    back = np.argsort(tail, kind="stable")
+    out, start = np.unique(tail[back], return_index=True)
+    far = np.full((len(source), n), np.inf)
+    far[rows, source] = 0.0
+    while True:
+        near = np.minimum(far[:, into], np.minimum.reduceat(far[:, tail] + length, first, axis=1))
+        if np.array_equal(near, far[:, into]):
+            break
+        far[:, into] = near
+    tight = np.isclose(far[:, tail] + length, far[:, head], rtol=0, atol=1e-12) & np.isfinite(far[:, head])
+    own = np.zeros_like(far)
+    own[rows, source] = 1.0
+    paths = own
+    while True:
+        new = own.copy()
+        new[:, into] += np.add.reduceat(np.where(tight, paths[:, tail], 0.0), first, axis=1)
+        if np.array_equal(new, paths):
+            break
+        paths = new
+    share = np.where(tight, paths[:, tail] / np.maximum(paths[:, head], 1.0), 0.0)[:, back]
+    between = np.zeros_like(far)
+    while True:
+        new = np.zeros_like(far)
+        new[:, out] = np.add.reduceat(share * (1.0 + between[:, head[back]]), start, axis=1)
+        if np.array_equal(new, between):
+            break
+        between = new
+    between[rows, source] = 0.0
+    return between
 
 
 def betweenness(links: DataFrame, nodes: DataFrame | None = None, normalized: bool = True, sources: int | None = None) -> DataFrame:
-    """(node, betweenness): weighted shortest-path betweenness, exact, or over ``sources`` sampled ones scaled up.
+    """(node, betweenness): weighted shortest-path betweenness, exact, or if ``sources`` is given over so many sampled ones, scaled up.
 
-    Single-source passes are independent, so sources are spread over tasks, each with the whole adjacency
-    (at most MAX_SHIPPED_EDGES), and the dependencies are summed by node.
+    Blocks of sources are spread over tasks, each with the whole graph (at most MAX_SHIPPED_EDGES), and summed by node.
     """
-    adj = both_ways(undirected(links))
+    adj = cut(both_ways(undirected(links)))
     n_edges = adj.count()
     if n_edges > MAX_SHIPPED_EDGES:
         raise ValueError(f"{n_edges} edges don't fit a task; sample or cluster the graph first")
     every = adj.select("node").unionByName(nodes.select("node")) if nodes is not None else adj.select("node")
     every = cut(every.distinct())
-    table: dict = {}
-    for a, b, d in adj.collect():
-        table.setdefault(a, []).append((b, d))
-    graph = links.sparkSession.sparkContext.broadcast(table)
     n = every.count()
-    sources = sources or (None if n <= C.EXACT_NODES else C.SAMPLED_SOURCES)
-    picked = every if sources is None or sources >= n else every.orderBy(F.xxhash64("node", F.lit(42))).limit(sources)
+    if not n_edges:
+        return every.withColumn("betweenness", F.lit(0.0))
+    pdf = adj.toPandas()
+    names = np.unique(pdf["node"].to_numpy(object))
+    tail, head = np.searchsorted(names, pdf["node"].to_numpy(object)), np.searchsorted(names, pdf["other"].to_numpy(object))
+    order = np.argsort(head, kind="stable")
+    graph = links.sparkSession.sparkContext.broadcast((names, tail[order], head[order], pdf["distance"].to_numpy(float)[order]))
+    linked = adj.select("node").distinct()
+    picked = linked if sources is None or sources >= n else linked.orderBy(F.xxhash64("node", F.lit(42))).limit(sources)
     scale = 1.0 if sources is None or sources >= n else n / sources
 
     def passes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import heapq
-
-        for pdf in batches:
-            total: dict = {}
-            for s in pdf["node"]:
-                done, paths, before, stack = {}, {s: 1.0}, {s: []}, []
-                best, heap = {s: 0.0}, [(0.0, s)]
-                while heap:
-                    d, v = heapq.heappop(heap)
-                    if v in done:
-                        continue
-                    done[v] = d
-                    stack.append(v)
-                    for u, w in graph.value.get(v, ()):
-                        e = d + w
-                        if u not in best or e < best[u] - 1e-12:
-                            best[u], paths[u], before[u] = e, paths[v], [v]
-                            heapq.heappush(heap, (e, u))
-                        elif u not in done and abs(e - best[u]) <= 1e-12:
-                            paths[u] += paths[v]
-                            before[u].append(v)
-                share = dict.fromkeys(stack, 0.0)
-                while stack:
-                    v = stack.pop()
-                    for u in before[v]:
-                        share[u] += paths[u] / paths[v] * (1 + share[v])
-                    if v != s:
-                        total[v] = total.get(v, 0.0) + share[v]
-            yield pd.DataFrame({"node": pd.Series(list(total), dtype=object), "part": np.array(list(total.values()), float)})
-
-    parts = picked.repartition(min(64, max(1, n // 16)), "node").mapInPandas(passes, f"node {dict(every.dtypes)['node']}, part double").groupBy("node").agg(F.sum("part").alias("part"))
+        names, tail, head, length = graph.value
+        block, total = max(1, BLOCK_CELLS // max(len(tail), len(names))), np.zeros(len(names))
+        for b in batches:
+            at = np.searchsorted(names, b["node"].to_numpy(object))
+            for k in range(0, len(at), block):
+                total += _dependencies(at[k : k + block], len(names), tail, head, length).sum(axis=0)
+        some = np.nonzero(total)[0]
+        yield pd.DataFrame({"node": names[some], "part": total[some]})
+
+    parts = picked.repartition(min(1024, max(1, n // 32)), "node").mapInPandas(passes, f"node {dict(every.dtypes)['node']}, part double").groupBy("node").agg(F.sum("part").alias("part"))
     factor = scale / ((n - 1) * (n - 2)) if normalized and n > 2 else scale
     return every.join(parts, "node", "left").select("node", (F.coalesce("part", F.lit(0.0)) * factor).alias("betweenness"))
 
@@ -220,7 +274,7 @@ def bridges(links: DataFrame, communities: DataFrame, scores: DataFrame, thresho
     """(node, betweenness, degree, community, bridged): nodes of enough betweenness that touch two communities and are no hubs."""
     adj = both_ways(undirected(links))
     degree = adj.groupBy("node").agg(F.count("*").alias("degree"))
-    middle = degree.agg(F.expr("percentile_disc(0.5) within group (order by degree)").alias("low"), F.sort_array(F.collect_list("degree")).alias("all")).select(F.element_at("all", (F.floor(F.size("all") / 2) + 1).cast("int")).alias("median"))
+    middle = percentile(degree, "degree", 0.5).select(F.col("value").alias("median"))  # one row
     touched = adj.join(communities.select(F.col("node").alias("other"), F.col("community").alias("c")), "other").select("node", "c").unionByName(communities.select("node", F.col("community").alias("c")))
     touched = touched.groupBy("node").agg(F.array_sort(F.collect_set("c")).alias("bridged")).where(F.size("bridged") >= 2)
     own = communities.select("node", "community")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..base import cut
 from ..functions.text import code_tokens, word_tokens
 
 
@@ -38,7 +39,8 @@ def bm25_scores(docs: DataFrame, query: list[str], id_col: str = "doc_id", text_
     def occurrences(name: str) -> Column:
         return F.size(F.filter("tokens", lambda t: t == name))
 
-    counts = tokens.select("id", F.size("tokens").alias("dl"), *[occurrences(n).alias(f"tf{i}") for i, n in enumerate(names)])
+    # texts are read and cut to tokens once; what is stored is a few numbers a document
+    counts = cut(tokens.select("id", F.size("tokens").alias("dl"), *[occurrences(n).alias(f"tf{i}") for i, n in enumerate(names)]))
     stats = counts.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(names))])
     raw = F.lit(0.0)
     for i, name in enumerate(names):
@@ -49,6 +51,37 @@ def bm25_scores(docs: DataFrame, query: list[str], id_col: str = "doc_id", text_
     return counts.crossJoin(F.broadcast(stats)).where(hit).select("id", raw.alias("raw"))
 
 
+def bm25_many(docs: DataFrame, queries: dict[int, list[str]], k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(query_id, id, rank, score, raw): ``bm25_search`` for several questions in one pass over the texts.
+
+    A document's length and its occurrences of any query term are stored once; statistics and scores read them, not texts.
+    """
+    terms = sorted({t for q in queries.values() for t in q})
+    at = {t: i for i, t in enumerate(terms)}
+    tokens = docs.select(F.col(id_col).alias("id"), code_tokens(F.col(text_col)).alias("t"))
+    found = cut(tokens.select("id", F.size("t").alias("dl"), F.filter("t", lambda x: x.isin(terms)).alias("t")))
+
+    def times(term: str) -> Column:
+        return F.size(F.filter("t", lambda x: x == term))
+
+    counts = found.select("id", "dl", *[times(t).alias(f"tf{i}") for t, i in at.items()])
+    stats = counts.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in at.values()])
+    rows = counts.crossJoin(F.broadcast(stats))  # one row
+    norm = C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("dl") / F.col("avgdl"))
+
+    def raw(query: list[str]) -> Column:
+        part = F.lit(0.0)
+        for t, n in Counter(query).items():
+            tf = F.col(f"tf{at[t]}")
+            part = part + n * _idf(F.col("n"), F.col(f"df{at[t]}")) * tf * (C.BM25_K1 + 1) / (tf + norm)
+        return part
+
+    scored = rows.select("id", F.explode(F.array(*[F.struct(F.lit(q).alias("query_id"), raw(t).alias("raw")) for q, t in queries.items()])).alias("s")).select("id", "s.*").where("raw > 0")
+    order = Window.partitionBy("query_id").orderBy(F.desc("raw"), "id")
+    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)  # the planner keeps k rows a question and task
+    return best.withColumn("score", F.col("raw") / F.max("raw").over(Window.partitionBy("query_id"))).select("query_id", "id", "rank", "score", "raw")
+
+
 def top(scores: DataFrame, score: str, k: int, id_col: str = "id") -> DataFrame:
     """The k rows of the highest score, ties by id, with rank from 1."""
     best = scores.orderBy(F.desc(score), id_col).limit(k)

@@ -7,14 +7,46 @@ from pyspark.sql import functions as F
 
 from . import evaluation
 
-# Name, least, most and default of the tuned parameters.
+# Name, least, most and default of the tuned parameters; those with whole bounds and default are whole numbers.
 PARAMETERS = [
     ("SYNAPSE_SEED_K", 1, 10, 3),
     ("SYNAPSE_BOOST_WEIGHT", 0.0, 2.0, 0.3),
     ("SYNAPSE_PULL_IN_MAX", 0, 5, 2),
+    ("SYNAPSE_PULL_IN_MIN_ENERGY", 0.01, 0.5, 0.15),
+    ("STRUCTURAL_SEED_K", 1, 10, 3),
+    ("STRUCTURAL_BOOST_WEIGHT", 0.0, 2.0, 0.35),
+    ("STRUCTURAL_PULL_IN_MAX", 0, 5, 2),
+    ("L0_MAX_TOKENS", 50, 300, 150),
+    ("L1_MAX_TOKENS", 200, 1000, 600),
+    ("L2_MAX_TOKENS", 400, 1500, 800),
+    ("L3_MAX_TOKENS", 500, 2000, 1000),
+    ("SPREAD_DEPTH", 1, 5, 2),
+    ("SPREAD_DECAY", 0.1, 1.0, 0.6),
+    ("SPREAD_TOP_K", 3, 30, 12),
+    ("STRUCTURAL_HUB_DEGREE", 10, 100, 50),
+    ("DECAY_RATE_MIN", 1.0, 30.0, 3.0),
+    ("DECAY_RATE_MAX", 30.0, 365.0, 120.0),
 ]
 
 
+def effective(stored: dict[str, float] | None = None) -> dict[str, float]:
+    """All parameters: defaults, overlaid by known ``stored`` ones within their bounds."""
+    return {name: type(default)(max(low, min(high, (stored or {}).get(name, default)))) for name, low, high, default in PARAMETERS}
+
+
+def live_quality(results: DataFrame, fixtures: DataFrame) -> DataFrame:
+    """One row (queries, quality, health) of results (query, id) for fixtures (query, expected array): the share of questions that find an expected node (or, with none expected, anything), and that find anything."""
+    got = results.groupBy("query").agg(F.collect_set("id").alias("ids"))
+    j = fixtures.join(got, "query", "left")
+    hit = F.when(F.size("expected") > 0, F.arrays_overlap("expected", "ids")).otherwise(F.col("ids").isNotNull())
+    return j.agg(F.count("*").alias("queries"), F.avg(F.coalesce(hit, F.lit(False)).cast("int")).alias("quality"), F.avg(F.col("ids").isNotNull().cast("int")).alias("health"))
+
+
+def search_depth(parameters: dict[str, float]) -> int:
+    """How many hits a candidate's evaluation looks at."""
+    return max(10, 5 * max(round(parameters.get("STRUCTURAL_SEED_K", 3)), round(parameters.get("SYNAPSE_SEED_K", 3))))
+
+
 def candidates(spark: SparkSession, n: int, incumbent: dict[str, float] | None = None, seed: int = 0) -> DataFrame:
     """(candidate, name, value): the incumbent as 0, and n perturbations with a sixth of each range as deviation, clamped.
 

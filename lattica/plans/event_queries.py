@@ -63,14 +63,8 @@ def audit_search(spark, d):
     return V.audit_search(_audit(spark, d), category="QUER", actor="u1", since="2024-01-05", limit=50).select("line_no", "actor", "action", "timestamp")
 
 
-def audit_chain_verify(spark, d):
-    """A chain in which each hash is that of the line before and the line; one line is altered."""
-    a = _audit(spark, d).select("line_no", "actor", F.when(F.col("line_no") == 777, "tampered").otherwise(F.col("action")).alias("action"), "sha256")
-    return V.chain_broken(a, F.sha2(F.concat_ws("|", "line_no", "actor", "action"), 256))
-
-
 def audit_cef(spark, d):
-    return _audit(spark, d).where("line_no < 1000").select("line_no", V.cef().alias("cef"))
+    return _audit(spark, d).select("line_no", V.cef().alias("cef"))
 
 
 def session_windows(spark, d):
@@ -95,13 +89,11 @@ def trace_repeats(spark, d):
     return V.repeat_rate(table(spark, d, "events").select(F.concat_ws("-", "user_id", "event_type").alias("fingerprint"))).withColumn("rate", F.round("rate", 6))
 
 
+RANKED = {0: ["thing", "est"], 1: ["eau", "que"], 2: ["der", "keit"], 3: ["idiot", "scum", "moron"]}
+
+
 def _ranked(spark, d):
-    docs = table(spark, d, "documents")
-    lists = None
-    for i, q in enumerate((["thing", "est"], ["eau", "que"], ["der", "keit"], ["idiot", "scum", "moron"])):
-        part = R.bm25_search(docs, q, 20).select(F.lit(i).alias("query_id"), "rank", F.col("id").alias("item"))
-        lists = part if lists is None else lists.unionByName(part)
-    return lists
+    return R.bm25_many(table(spark, d, "documents"), RANKED, 20).select(F.col("query_id").cast("int").alias("query_id"), "rank", F.col("id").alias("item"))
 
 
 def _relevant(spark, d):
@@ -126,7 +118,7 @@ def fact_recall(spark, d):
 
 def entity_resolution(spark, d):
     p = table(spark, d, "part")
-    return E.resolve_entities(p.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("label")), p.where("p_partkey < 40").select(F.col("p_partkey").alias("entity"), F.concat_ws(" ", "p_type", F.when(F.col("p_partkey") % 3 == 0, "new")).alias("label")))
+    return E.resolve_entities(p.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("label")), p.select(F.col("p_partkey").alias("entity"), F.concat_ws(" ", "p_type", F.when(F.col("p_partkey") % 3 == 0, "new")).alias("label")))
 
 
 def intent_boost(spark, d):
@@ -136,7 +128,7 @@ def intent_boost(spark, d):
 
 def synapse_boost(spark, d):
     hits = R.bm25_search(table(spark, d, "documents"), RQ.TERMS).select("id", "score")
-    energy = table(spark, d, "documents").where("n_chars > 3000").select(F.col("doc_id").alias("id"), (1.0 / (F.col("doc_id") + 1)).alias("energy"))
+    energy = table(spark, d, "documents").select(F.col("doc_id").alias("id"), (1.0 / (F.col("doc_id") + 1)).alias("energy"))
     return X.boost(hits, energy).select(F.col("id").alias("doc_id"), "rank", F.round("score", 6).alias("score"), "pulled")
 
 
@@ -149,7 +141,7 @@ def compress_lines(spark, d):
     return X.compressed(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")).select(F.col("id").alias("doc_id"), "n_lines", "n_kept", F.md5("kept").alias("kept_md5"))
 
 
-_F = (session_starts, re_query_rate, escalation_rate, wakeup_only_rate, savings_report, metrics_summary, audit_summary, audit_search, audit_chain_verify, audit_cef, session_windows, rate_limit, circuit_breaker, recent_log, trace_repeats, quality_metrics, quality_summary, fact_recall, entity_resolution, intent_boost, synapse_boost, context_layers, compress_lines)
+_F = (session_starts, re_query_rate, escalation_rate, wakeup_only_rate, savings_report, metrics_summary, audit_summary, audit_search, audit_cef, session_windows, rate_limit, circuit_breaker, recent_log, trace_repeats, quality_metrics, quality_summary, fact_recall, entity_resolution, intent_boost, synapse_boost, context_layers, compress_lines)
 QUERIES = {f.__name__: f for f in _F}
 
 _LOG = """e0 AS (SELECT *, CASE WHEN coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > 1800000000, true) THEN 1 ELSE 0 END AS fresh, (props::JSON->>'$.k')::INT AS k, CASE WHEN event_type = 'signup' THEN 'wakeup' ELSE 'query' END AS kind FROM events),
@@ -191,8 +183,7 @@ SELECT queries, wakeups, tokens_used, avg_ratio, (queries + wakeups) * 50000 AS
     "metrics_summary": f"WITH {_LOG} SELECT event_type AS event, count(*) AS n, round(avg(k::DOUBLE), 2) AS latency_ms, round(avg(CASE WHEN k % 2 = 0 THEN k / 100 END), 4) AS reuse, round(avg(k * 10), 0) AS tokens, sum(k * 10)::BIGINT AS total_tokens FROM lg WHERE floor(epoch(ts)) >= {NOW}::DOUBLE - 14 * 86400 GROUP BY 1",
     "audit_summary": f"WITH {_AUDIT} SELECT category, count(*) AS n, count(*) FILTER (status = 'success') AS ok, count(*) FILTER (status <> 'success') AS failed, max(timestamp) AS last FROM au GROUP BY 1",
     "audit_search": f"WITH {_AUDIT} SELECT line_no, actor, action, timestamp FROM au WHERE contains(category, 'quer') AND contains(actor, 'u1') AND timestamp >= '2024-01-05' ORDER BY line_no LIMIT 50",
-    "audit_chain_verify": "SELECT 777::BIGINT AS bad_line FROM events WHERE event_id = 777",
-    "audit_cef": f"WITH {_AUDIT} SELECT line_no, 'CEF:0|lattica|audit|1|' || category || '|' || action || '|' || CASE WHEN status = 'success' THEN 0 ELSE 5 END || '|suser=' || actor || ' act=' || action AS cef FROM au WHERE line_no < 1000",
+    "audit_cef": f"WITH {_AUDIT} SELECT line_no, 'CEF:0|lattica|audit|1|' || category || '|' || action || '|' || CASE WHEN status = 'success' THEN 0 ELSE 5 END || '|suser=' || actor || ' act=' || action AS cef FROM au",
     "session_windows": """WITH e AS (SELECT *, CASE WHEN coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 1800000000, true) THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM e) SELECT user_id, count(*) AS n, min(ts)::VARCHAR AS first, max(ts)::VARCHAR AS last FROM s GROUP BY user_id, s""",
     "recent_log": "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 100",
@@ -200,13 +191,13 @@ s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS
     "quality_metrics": f"WITH {_metrics()} SELECT query_id, round(rr, 6) AS rr, {', '.join(c if c.startswith('hit') else f'round({c}, 6) AS {c}' for c in _MCOLS)} FROM pq",
     "quality_summary": f"WITH {_metrics()} SELECT count(*) AS queries, round(avg(rr), 6) AS mrr, {', '.join(f'round(avg({c}), 6) AS {c}' for c in _MCOLS)} FROM pq",
     "fact_recall": """SELECT conv_id || '-' || turn AS id, round(((contains(lower(text), 'the') AND contains(lower(text), 'and'))::INT + (contains(lower(text), 'der') AND contains(lower(text), 'die'))::INT + (contains(lower(text), 'que') AND contains(lower(text), 'la'))::INT + contains(lower(text), 'thing')::INT) / 4, 6) AS recall FROM conversations""",
-    "entity_resolution": """WITH n AS (SELECT p_partkey AS k, trim(regexp_replace(lower(trim(p_type)), '[^a-z0-9]+', '_', 'g'), '_') AS a, CASE WHEN p_partkey < 40 THEN trim(regexp_replace(lower(p_type || CASE WHEN p_partkey % 3 = 0 THEN ' new' ELSE '' END), '[^a-z0-9]+', '_', 'g'), '_') END AS b FROM part),
+    "entity_resolution": """WITH n AS (SELECT p_partkey AS k, trim(regexp_replace(lower(trim(p_type)), '[^a-z0-9]+', '_', 'g'), '_') AS a, trim(regexp_replace(lower(p_type || CASE WHEN p_partkey % 3 = 0 THEN ' new' ELSE '' END), '[^a-z0-9]+', '_', 'g'), '_') AS b FROM part),
 a AS (SELECT k AS id, a AS norm, list_distinct(string_split(a, '_')) AS t FROM n), b AS (SELECT k AS entity, b AS norm, list_distinct(string_split(b, '_')) AS t FROM n WHERE b IS NOT NULL),
 x AS (SELECT id, min(entity) AS entity, 1.0::DOUBLE AS s FROM a JOIN b USING (norm) GROUP BY id), p AS (SELECT id, entity, len(list_intersect(a.t, b.t)) / sqrt(len(a.t) * len(b.t)) AS s FROM a, b WHERE len(list_intersect(a.t, b.t)) > 0),
 q AS (SELECT id, entity, s FROM p WHERE id NOT IN (SELECT id FROM x) QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, entity) = 1), u AS (SELECT * FROM x UNION ALL SELECT * FROM q)
-SELECT a.id, CASE WHEN s >= 0.95 THEN 'merge' WHEN s >= 0.85 THEN 'review' ELSE 'distinct' END AS action, CASE WHEN s >= 0.85 THEN entity END AS entity, round(coalesce(s, 0), 6) AS similarity FROM a LEFT JOIN u USING (id)""",
+SELECT a.id, CASE WHEN s >= 0.95 THEN 'merge' WHEN s >= 0.85 THEN 'review' ELSE 'distinct' END AS action, CASE WHEN s >= 0.85 THEN entity END AS entity, round(CASE WHEN s >= 0.85 THEN s ELSE 0 END, 6) AS similarity FROM a LEFT JOIN u USING (id)""",
     "intent_boost": f"WITH {RQ._bm25()} SELECT id AS doc_id, round(score * CASE WHEN id % 3 = 0 THEN 2.0::DOUBLE ELSE 0.7::DOUBLE END, 6) AS score FROM bm",
-    "synapse_boost": f"""WITH {RQ._bm25()}, en AS (SELECT doc_id AS id, 1.0::DOUBLE / (doc_id + 1) AS energy FROM documents WHERE n_chars > 3000),
+    "synapse_boost": f"""WITH {RQ._bm25()}, en AS (SELECT doc_id AS id, 1.0::DOUBLE / (doc_id + 1) AS energy FROM documents),
 b AS (SELECT id, score + CASE WHEN rank <= 3 THEN 0 ELSE 0.3::DOUBLE * coalesce(energy, 0) END AS s FROM bm LEFT JOIN en USING (id)), o AS (SELECT *, row_number() OVER (ORDER BY s DESC, id) AS r FROM b),
 p AS (SELECT id, 0.3::DOUBLE * energy AS s FROM en WHERE energy >= 0.15 AND id NOT IN (SELECT id FROM bm) ORDER BY s DESC, id LIMIT 2),
 u AS (SELECT id, s, false AS pulled FROM o WHERE r <= greatest(1, 10 - (SELECT count(*) FROM p)) UNION ALL SELECT id, s, true FROM p)

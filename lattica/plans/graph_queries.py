@@ -21,11 +21,6 @@ def links(spark, d):
     )
 
 
-def _small(spark, d):
-    """Suppliers, nations and regions: a graph small enough for exact betweenness."""
-    return links(spark, d).where(F.col("source").rlike("^[rs]"))
-
-
 def structural_views(spark, d):
     return G.views(links(spark, d)).groupBy("view").agg(F.count("*").alias("pairs"), F.countDistinct("node").alias("nodes"))
 
@@ -65,8 +60,8 @@ def relevance_spans(spark, d):
 
 
 def peer_groups(spark, d):
-    m = table(spark, d, "part").where("p_partkey < 400").select(F.col("p_brand").alias("container"), F.concat(F.lit("p"), "p_partkey").alias("node"), F.regexp_replace(F.lower("p_type"), "[^a-z]+", "_").alias("label"))
-    return G.peer_groups(m).groupBy("container", "node").agg(F.count("*").alias("peers"))
+    m = table(spark, d, "part").select(F.col("p_brand").alias("container"), F.concat(F.lit("p"), "p_partkey").alias("node"), F.regexp_replace(F.lower("p_type"), "[^a-z]+", "_").alias("label"))
+    return G.peer_counts(m)
 
 
 def graph_degrees(spark, d):
@@ -75,25 +70,25 @@ def graph_degrees(spark, d):
 
 
 def ir_validation(spark, d):
-    n = table(spark, d, "customer").where("c_custkey % 10 <> 3").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.col("c_name").alias("label"), F.lit("symbol").alias("file_type"))
+    n = table(spark, d, "customer").select(F.concat(F.when(F.col("c_custkey") % 10 == 3, "x").otherwise("c"), "c_custkey").alias("id"), F.col("c_name").alias("label"), F.lit("symbol").alias("file_type"))
     n = n.unionByName(table(spark, d, "nation").select(F.concat(F.lit("n"), "n_regionkey").alias("id"), F.col("n_name").alias("label"), F.lit("thing").alias("file_type")))
-    return G.validate(n, links(spark, d).where("relation = 'contains'")).groupBy("severity", "kind").agg(F.count("*").alias("issues"), F.sum("n").alias("n"))
+    return G.validate(n, links(spark, d)).groupBy("severity", "kind").agg(F.count("*").alias("issues"), F.sum("n").alias("n"))
 
 
 def betweenness(spark, d):
-    return G.betweenness(_small(spark, d)).select("node", F.round("betweenness", 6).alias("betweenness"))
+    return G.betweenness(links(spark, d)).select("node", F.round("betweenness", 6).alias("betweenness"))
 
 
 def gap_candidates(spark, d):
-    p = table(spark, d, "part")
-    e = p.select(F.col("p_brand").alias("source"), F.col("p_type").alias("target"), F.lit("calls").alias("relation")).unionByName(p.select(F.col("p_type").alias("source"), F.concat(F.lit("size"), "p_size").alias("target"), F.lit("imports").alias("relation"))).distinct()
-    n = e.select(F.col("source").alias("node")).union(e.select("target")).distinct()
-    c = n.select("node", F.pmod(F.crc32(F.col("node").cast("binary")), F.lit(4)).cast("int").alias("community"))
-    return G.gaps(e, c).select("node", "gap_score", "betweenness", "degree", F.array_join(F.transform("bridged", lambda x: x.cast("string")), ",").alias("bridged"), F.array_join("suggested", ",").alias("suggested"))
+    """Customers and parts between the communities of nations, and whom to link them to."""
+    e = links(spark, d)
+    of = table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("node"), (F.col("c_nationkey") % 5).cast("int").alias("community"))
+    p = table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("node"), (F.col("p_partkey") % 5).cast("int").alias("community"))
+    return G.gaps(e, of.unionByName(p), threshold=0.0).select("node", "gap_score", "betweenness", "degree", F.array_join(F.transform("bridged", lambda x: x.cast("string")), ",").alias("bridged"), F.array_join("suggested", ",").alias("suggested"))
 
 
 def _weighted(spark, d):
-    return links(spark, d).where("relation <> 'calls'").select(F.col("source").alias("a"), F.col("target").alias("b"), F.lit(1.0).alias("weight"))
+    return links(spark, d).select(F.col("source").alias("a"), F.col("target").alias("b"), F.lit(1.0).alias("weight"))
 
 
 def louvain(spark, d):
@@ -134,14 +129,14 @@ q AS (SELECT * FROM p WHERE peers >= greatest(3, ceil(0.6::DOUBLE * size)) AND p
 SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY peers / size DESC, peers DESC, associate, node) <= 5""",
     "drift_intervals": f"WITH {_SPANS}, h AS (SELECT o_orderkey AS path, o_custkey % 60 AS a, o_custkey % 60 + 15 AS b FROM orders) SELECT DISTINCT path, id FROM sp JOIN h USING (path) WHERE line <= b AND (nxt IS NULL OR nxt > a)",
     "relevance_spans": f"WITH {_SPANS} SELECT path, id, line AS first, greatest(line, coalesce(nxt - 1, line)) AS last FROM sp",
-    "peer_groups": """WITH m AS (SELECT p_brand AS c, 'p' || p_partkey AS node, list_filter(string_split(regexp_replace(lower(p_type), '[^a-z]+', '_', 'g'), '_'), lambda t: length(t) >= 3) AS l FROM part WHERE p_partkey < 400),
+    "peer_groups": """WITH m AS (SELECT p_brand AS c, 'p' || p_partkey AS node, list_filter(string_split(regexp_replace(lower(p_type), '[^a-z]+', '_', 'g'), '_'), lambda t: length(t) >= 3) AS l FROM part),
 t AS (SELECT c, node, l[1] AS t1, l[-1] AS t2 FROM m), n AS (SELECT *, count(*) OVER (PARTITION BY c) AS n, count(*) OVER (PARTITION BY c, t1) AS n1, count(*) OVER (PARTITION BY c, t2) AS n2 FROM t),
 f AS (SELECT *, CASE WHEN t1 IS NOT NULL AND n1 BETWEEN 4 AND n - 1 THEN n1 END AS f1, CASE WHEN t2 IS NOT NULL AND n2 BETWEEN 4 AND n - 1 THEN n2 END AS f2 FROM n)
 SELECT c AS container, node, (CASE WHEN f2 IS NOT NULL AND (f1 IS NULL OR f2 <= f1) THEN f2 WHEN f1 IS NOT NULL THEN f1 ELSE n END - 1)::BIGINT AS peers FROM f WHERE peers > 0""",
     "graph_degrees": f"""WITH {_L}, e AS (SELECT least(s, t) AS a, greatest(s, t) AS b, min(1 / CASE r WHEN 'calls' THEN 1.0::DOUBLE WHEN 'inherits' THEN 0.9::DOUBLE WHEN 'contains' THEN 0.3::DOUBLE END) AS x FROM lk WHERE s <> t GROUP BY ALL),
 w AS (SELECT a AS node, x FROM e UNION ALL SELECT b, x FROM e) SELECT node, count(*) AS degree, round(sum(x), 6) AS distance FROM w GROUP BY node""",
-    "ir_validation": f"""WITH {_L}, l2 AS (SELECT * FROM lk WHERE r = 'contains'), n AS (SELECT 'c' || c_custkey AS id, c_name AS label, 'symbol' AS ft FROM customer WHERE c_custkey % 10 <> 3 UNION ALL SELECT 'n' || n_regionkey, n_name, 'thing' FROM nation),
-en AS (SELECT s AS id FROM l2 UNION ALL SELECT t FROM l2),
+    "ir_validation": f"""WITH {_L}, n AS (SELECT CASE WHEN c_custkey % 10 = 3 THEN 'x' ELSE 'c' END || c_custkey AS id, c_name AS label, 'symbol' AS ft FROM customer UNION ALL SELECT 'n' || n_regionkey, n_name, 'thing' FROM nation),
+en AS (SELECT s AS id FROM lk UNION ALL SELECT t FROM lk),
 i AS (SELECT 'error' AS severity, 'duplicate_id' AS kind, count(*) AS n FROM n GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'warning', 'unknown_kind', 1 FROM n WHERE ft = 'thing'
  UNION ALL SELECT 'error', 'dangling', count(*) FROM en WHERE id NOT IN (SELECT id FROM n) GROUP BY id UNION ALL SELECT 'warning', 'orphan', 1 FROM (SELECT DISTINCT id FROM n) WHERE id NOT IN (SELECT id FROM en))
 SELECT severity, kind, count(*) AS issues, sum(n)::BIGINT AS n FROM i GROUP BY ALL""",

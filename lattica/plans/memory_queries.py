@@ -49,7 +49,7 @@ def learned_half_life(spark, d):
 
 
 def merged_namespace_read(spark, d):
-    return _r(M.merged_edges(synapses(spark, d), "branch:main"), "weight").orderBy(F.desc("weight"), "node_a", "node_b").limit(2000)
+    return _r(M.merged_edges(synapses(spark, d), "branch:main"), "weight")
 
 
 def synapse_neighbors(spark, d):
@@ -117,7 +117,7 @@ def structural_seeds(spark, d):
 
 
 def promote_lasting(spark, d):
-    return _r(M.promote_lasting(M.decay(synapses(spark, d), NOW)), "weight").where("activation_count >= 2").select(*M.PAIR, "weight", "activation_count")
+    return _r(M.promote_lasting(M.decay(synapses(spark, d), NOW)), "weight").select(*M.PAIR, "weight", "activation_count")
 
 
 def contribution_score(spark, d):
@@ -152,12 +152,19 @@ def sleep_redundant(spark, d):
     return TM.redundant(synapses(spark, d).withColumn("weight", F.col("weight") / 100), NOW).groupBy("namespace").agg(F.count("*").alias("n"))
 
 
+# Node ids and the domain that each belongs to.
+DOMAINS = [
+    ("archive_notes_md", "decision"), ("decision_7", "decision"), ("community_-3", "decision"), ("a_md__h12", "document"), ("readme_md", "document"), ("f__fn", "code"), ("g_cls", "code"), ("x__var", "code"),
+    ("m__y_sym", "code"), ("conf_yaml", "code"), ("benchmark_z", "code"), ("why__rationale", "decision"), ("foo_fn__rationale_2", "decision"), ("/a/b.PY", "code"), ("/a/b.md", "document"), ("/a/b.bin", "unknown"),
+    ("zz", "unknown"), ("adr_1", "unknown"), ("compliance:x", "unknown"), ("x_py_more", "unknown"),
+]
+
+
 def domain_breakdown(spark, d):
     from ..functions.text import domain
 
-    ids = table(spark, d, "pages").select(F.regexp_replace("url", r"^https?://[^/]+", "").alias("path"), "page_id")
-    kind = F.element_at(F.array(F.lit(".py"), F.lit(".md"), F.lit("_md"), F.lit("__fn_x"), F.lit("__rationale_1"), F.lit(""), F.lit("__h12")), (F.col("page_id") % 7 + 1).cast("int"))
-    return ids.select(domain(F.concat("path", kind)).alias("domain")).groupBy("domain").agg(F.count("*").alias("n"))
+    node = F.element_at(F.array(*[F.lit(n) for n, _ in DOMAINS]), (F.col("page_id") % len(DOMAINS) + 1).cast("int"))
+    return table(spark, d, "pages").select(node.alias("node")).select("node", domain(F.col("node")).alias("domain")).groupBy("node", "domain").agg(F.count("*").alias("n"))
 
 
 _F = (coactivation_reinforce, synapse_decay, decay_one_node, learned_half_life, merged_namespace_read, synapse_neighbors, spread_activation, spread_contributions, hub_normalize, synapse_stats, top_pairs, penalize_prune, import_max_merge, prune_stale, transition_learn, next_likely, top_transition_groups, transition_margin, structural_seeds, promote_lasting, contribution_score, peer_review, conflict_merge, team_bundle, team_bundle_hash, staleness, sleep_redundant, domain_breakdown)
@@ -194,7 +201,7 @@ greatest(0, ({NOW}::DOUBLE - created_at) / 86400) AS age, greatest(0, ({NOW}::DO
 b AS (SELECT *, exp(-{C.LN2}::DOUBLE * since / df) AS tr FROM a)
 SELECT node_a, node_b, namespace, round(greatest(lo, least(120, CASE WHEN age < 1 THEN df ELSE (1 - tr) * df + tr * (lo + (120 - lo) * (r / (1 + r))) END)), 6) AS half_life_days FROM b""",
     "merged_namespace_read": f"""WITH {_SYN} SELECT node_a, node_b, round(sum(weight * CASE namespace WHEN 'branch:main' THEN 1.0::DOUBLE WHEN 'personal' THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END), 6) AS weight, sum(activation_count)::BIGINT AS activation_count
-FROM syn WHERE namespace <> 'ephemeral' GROUP BY ALL ORDER BY weight DESC, node_a, node_b LIMIT 2000""",
+FROM syn WHERE namespace <> 'ephemeral' GROUP BY ALL""",
     "synapse_neighbors": f"""WITH {_SYN} SELECT CASE WHEN node_a = 'p1' THEN node_b ELSE node_a END AS other, round(sum(weight * {_FACTOR}), 6) AS weight FROM syn
 WHERE 'p1' IN (node_a, node_b) AND namespace IN ('personal', 'shared') GROUP BY 1 ORDER BY weight DESC, other LIMIT 5""",
     "spread_activation": f"""WITH {_SYN}, {_BOTH}, h2 AS (SELECT other AS node, energy * g AS energy FROM h1 JOIN ah USING (node)), al AS (SELECT node, energy FROM h1 UNION ALL SELECT * FROM h2)
@@ -216,7 +223,7 @@ SELECT node_a, node_b, 'shared' AS namespace, round(max(weight), 6) AS weight, m
 SELECT from_node, to_node, round(weight, 6) AS weight, round(weight / total, 6) AS probability FROM s JOIN f USING (from_node) WHERE weight / total >= 0.05""",
     "transition_margin": f"WITH {_TR} SELECT from_node, round(max(probability), 6) AS top1_margin FROM nl GROUP BY 1",
     "structural_seeds": "WITH e AS (SELECT 's' || l_suppkey AS a, 'p' || l_partkey AS b, count(*) AS n FROM lineitem GROUP BY ALL) SELECT least(a, b) AS node_a, greatest(a, b) AS node_b, round(least(0.7::DOUBLE, 0.25::DOUBLE + 0.06::DOUBLE * ln(1 + sum(n))), 6) AS weight FROM e GROUP BY ALL",
-    "promote_lasting": f"WITH {_SYN}, {_DECAY} SELECT node_a, node_b, namespace, round(CASE WHEN activation_count >= 5 AND weight >= 0.2 AND weight < 1 THEN least(1, weight * 1.1::DOUBLE) ELSE weight END, 6) AS weight, activation_count FROM dec WHERE activation_count >= 2",
+    "promote_lasting": f"WITH {_SYN}, {_DECAY} SELECT node_a, node_b, namespace, round(CASE WHEN activation_count >= 5 AND weight >= 0.2 AND weight < 1 THEN least(1, weight * 1.1::DOUBLE) ELSE weight END, 6) AS weight, activation_count FROM dec",
     "contribution_score": f"WITH {_SYN}, {_CON} SELECT node_a, node_b, namespace, round(reinforcement, 6) AS reinforcement, round(recency, 6) AS recency, round(score, 6) AS score, CASE WHEN score >= 0.7 THEN 'promote' WHEN score < 0.3 THEN 'decay' ELSE 'neutral' END AS class FROM con",
     "peer_review": f"""WITH {_SYN}, {_CON}, a AS (SELECT *, CASE WHEN score >= 0.7 THEN 'auto_promote' WHEN score < 0.15 THEN 'reject' ELSE 'review_required' END AS action, concat_ws(', ', CASE WHEN reinforcement < 0.3 THEN 'low reinforcement' END, CASE WHEN recency < 0.3 THEN 'stale' END) AS h FROM con)
 SELECT action, CASE WHEN action <> 'review_required' THEN '' WHEN h = '' THEN 'marginal score' ELSE h END AS hint, count(*) AS n FROM a GROUP BY ALL""",
@@ -228,8 +235,5 @@ SELECT source, target, winner, CASE WHEN winner = 'b' THEN sb ELSE sa END AS sco
     "staleness": f"""WITH {_SYN}, a AS (SELECT *, ({NOW}::DOUBLE - last_activated) / 86400 AS age, CASE WHEN namespace = 'shared' THEN 30 WHEN starts_with(namespace, 'branch:') THEN 14 ELSE 60 END AS lim FROM syn)
 SELECT node_a, node_b, namespace, round(weight * pow(2.0::DOUBLE, -5.0::DOUBLE / lim), 6) AS weight, round(age, 6) AS age_days FROM a WHERE age > lim""",
     "sleep_redundant": f"WITH {_SYN} SELECT namespace, count(*) AS n FROM syn WHERE weight / 100 < 0.01 AND activation_count <= 1 AND last_activated < {NOW}::DOUBLE - 60 * 86400 AND created_at < {NOW}::DOUBLE - 60 * 86400 GROUP BY 1",
-    "domain_breakdown": r"""WITH p AS (SELECT regexp_replace(url, '^https?://[^/]+', '') || ['.py', '.md', '_md', '__fn_x', '__rationale_1', '', '__h12'][(page_id % 7 + 1)::INT] AS n FROM pages)
-SELECT CASE WHEN n = '' THEN 'unknown' WHEN regexp_matches(n, '^(decision_|adr_|compliance:)') OR regexp_matches(n, '^community_-?\d+$') THEN 'decision' WHEN regexp_matches(n, '__h\d+$') OR (n LIKE '%\_md' ESCAPE '\' AND NOT starts_with(n, 'archive_')) THEN 'document'
-WHEN regexp_matches(n, '(__fn|__cls|__sym|__method|_py|_ts|_js|_go|_rs|_java)(_|$)|\.(py|ts|tsx|js|jsx|go|rs|java|rb|php|c|h|cpp|cs)$') OR starts_with(n, 'benchmark_') THEN 'code' WHEN regexp_matches(n, '__?rationale') THEN 'decision'
-WHEN starts_with(n, '/') AND regexp_matches(lower(n), '\.(md|mdoc|rst|txt|doc|docx)$') THEN 'document' ELSE 'unknown' END AS domain, count(*) AS n FROM p GROUP BY 1""",
+    "domain_breakdown": f"""SELECT [{', '.join(f"'{n}'" for n, _ in DOMAINS)}][(page_id % {len(DOMAINS)} + 1)::INT] AS node, [{', '.join(f"'{k}'" for _, k in DOMAINS)}][(page_id % {len(DOMAINS)} + 1)::INT] AS domain, count(*) AS n FROM pages GROUP BY 1, 2""",
 }

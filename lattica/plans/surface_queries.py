@@ -18,8 +18,8 @@ def rbac_check(spark, d):
 
 def endpoint_coverage(spark, d):
     p = table(spark, d, "pages").select("page_id", F.regexp_replace(F.regexp_replace("url", r"^https?://[^/]+", ""), r"#.*$", "").alias("path"))
-    e = p.where("page_id % 2 = 0").select(F.lit("GET").alias("method"), F.concat("path", F.lit("/:id/")).alias("path"))
-    r = p.where("page_id % 3 = 0").select(F.concat("path", F.lit("/{key}")).alias("path"), (F.col("page_id") % 4 == 0).alias("real_db"), (F.col("page_id") % 5 == 0).alias("skipped"))
+    e = p.select(F.lit("GET").alias("method"), F.concat("path", F.lit("/:id/")).alias("path"))
+    r = p.select(F.concat("path", F.when(F.col("page_id") % 3 == 0, F.lit("/{key}")).otherwise(F.lit("/other"))).alias("path"), (F.col("page_id") % 4 == 0).alias("real_db"), (F.col("page_id") % 5 == 0).alias("skipped"))
     return GV.endpoint_coverage(e, r).groupBy("status").agg(F.count("*").alias("n"), F.sum("refs").alias("refs"))
 
 
@@ -55,8 +55,8 @@ QUERIES = {f.__name__: f for f in _F}
 ORACLES = {
     "rbac_check": """SELECT ['admin', 'reader', 'guest'][(user_id % 3 + 1)::INT] AS role, event_type AS tool, count(*) AS n, CASE WHEN user_id % 3 = 0 THEN count(*) WHEN user_id % 3 = 1 AND event_type IN ('view', 'click') THEN count(*) ELSE 0 END AS allowed
 FROM events GROUP BY user_id % 3, event_type""",
-    "endpoint_coverage": r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^https?://[^/]+', ''), '#.*$', '') AS path FROM pages), r AS (SELECT path, max((page_id % 4 = 0 AND page_id % 5 <> 0)::INT) AS live, min((page_id % 5 = 0)::INT) AS sk, count(*) AS n FROM p WHERE page_id % 3 = 0 GROUP BY path)
-SELECT CASE WHEN live = 1 THEN 'live' WHEN sk = 1 THEN 'all_skipped' WHEN n > 0 THEN 'mocked' ELSE 'untested' END AS status, count(*) AS n, sum(coalesce(r.n, 0))::BIGINT AS refs FROM p LEFT JOIN r USING (path) WHERE page_id % 2 = 0 GROUP BY 1""",
+    "endpoint_coverage": r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^https?://[^/]+', ''), '#.*$', '') AS path FROM pages), r AS (SELECT path, max((page_id % 4 = 0 AND page_id % 5 <> 0)::INT) AS live, min((page_id % 5 = 0)::INT) AS sk, count(*) AS n FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN path ELSE path || '/../other' END AS path FROM p) GROUP BY path)
+SELECT CASE WHEN live = 1 THEN 'live' WHEN sk = 1 THEN 'all_skipped' WHEN n > 0 THEN 'mocked' ELSE 'untested' END AS status, count(*) AS n, sum(coalesce(r.n, 0))::BIGINT AS refs FROM p LEFT JOIN r USING (path) GROUP BY 1""",
     "type_risks": "SELECT CASE p_partkey % 6 WHEN 0 THEN 'optional_return' WHEN 4 THEN 'optional_return' WHEN 1 THEN 'implicit_none' ELSE 'any_fallthrough' END AS risk, CASE WHEN p_partkey % 6 IN (0, 3, 4) THEN 'warn' ELSE 'info' END AS severity, count(*) AS n FROM part WHERE p_partkey % 6 <> 5 GROUP BY ALL",
     "content_nodes": """SELECT 'policy:' || substr(replace(lower(p_name), ' ', '_'), 1, 40) || '.nodate' AS id, p_name AS label, md5('Policy: ' || p_name || chr(10) || 'Owner: ' || p_brand || CASE WHEN p_size % 2 = 0 THEN chr(10) || 'Statement: ' || p_type ELSE '' END
 || chr(10) || 'Requirements:' || chr(10) || array_to_string(list_transform(string_split(p_type, ' '), lambda v: '  - ' || v), chr(10)) || CASE WHEN p_partkey % 3 > 0 THEN chr(10) || 'Tags: ' || p_brand ELSE '' END) AS text_md5 FROM part""",

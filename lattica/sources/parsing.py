@@ -7,13 +7,14 @@ one call a file over Arrow batches.
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import chunks
+from ..functions.text import chunks, normalized_path
 
 
 def read_files(spark: SparkSession, root: str, suffixes: list[str]) -> DataFrame:
@@ -96,6 +97,12 @@ def python_symbols(files: DataFrame) -> DataFrame:
         except (SyntaxError, ValueError) as e:
             return [(path, "error", type(e).__name__, "", getattr(e, "lineno", 0) or 0, "")]
         out: list[tuple] = []
+        named = {t.id: n.value.value for n in tree.body if isinstance(n, ast.Assign) and isinstance(n.value, ast.Constant) and isinstance(n.value.value, str) for t in n.targets if isinstance(t, ast.Name)}
+
+        def loaded(call: ast.Call) -> str | None:
+            """The module that import_module or __import__ loads, if it is written down or a constant of the file."""
+            arg = call.args[0] if call.args else None
+            return arg.value if isinstance(arg, ast.Constant) and isinstance(arg.value, str) else named.get(arg.id) if isinstance(arg, ast.Name) else None
 
         def walk(node: ast.AST, owner: str) -> None:
             for child in ast.iter_child_nodes(node):
@@ -112,7 +119,9 @@ def python_symbols(files: DataFrame) -> DataFrame:
                     out.append((path, "imports", owner, owner, child.lineno, "." * child.level + (child.module or "")))
                 elif isinstance(child, ast.Call):
                     name = child.func.attr if isinstance(child.func, ast.Attribute) else getattr(child.func, "id", "")
-                    if name:
+                    if name in ("import_module", "__import__"):
+                        out.extend([(path, "imports", owner, owner, child.lineno, m)] if (m := loaded(child)) else [])
+                    elif name:
                         out.append((path, "calls", owner, owner, child.lineno, name))
                 walk(child, here)
 
@@ -127,6 +136,83 @@ def python_symbols(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, kind string, name string, container string, line_no int, target string")
 
 
+def python_types(files: DataFrame) -> DataFrame:
+    """(path, name, return_type, is_optional, confidence) of Python functions: annotated (0.9), all returns constants of one type (0.7), or null (0)."""
+
+    def told(fn: ast.AST) -> tuple[str | None, bool, float]:
+        if fn.returns is not None:
+            text = ast.unparse(fn.returns)
+            return text, "Optional[" in text or text.endswith("| None") or text.startswith("None |"), 0.9
+        returns = [n.value for n in ast.walk(fn) if isinstance(n, ast.Return)]
+        kinds = {type(r.value).__name__ if isinstance(r, ast.Constant) and r.value is not None else "None" if r is None or isinstance(r, ast.Constant) else "" for r in returns}
+        if not returns:
+            return "None", False, 0.7
+        if "" in kinds or len(kinds - {"None"}) > 1:
+            return None, False, 0.0
+        rest = kinds - {"None"}
+        return (rest.pop() if rest else "None"), len(kinds) == 2, 0.7
+
+    def rows_of(path: str, source: str) -> list[tuple]:
+        try:
+            tree = ast.parse(source or "")
+        except (SyntaxError, ValueError):
+            return []
+        return [(path, n.name, *told(n)) for n in ast.walk(tree) if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([r for p, c in zip(b["path"], b["content"]) for r in rows_of(p, c)], columns=["path", "name", "return_type", "is_optional", "confidence"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, name string, return_type string, is_optional boolean, confidence double")
+
+
+def typed_calls(nodes: DataFrame, links: DataFrame, types: DataFrame) -> DataFrame:
+    """(caller, callee, return_type, is_optional, confidence): call links with what their callee (by file and bare name) returns."""
+    bare = F.element_at(F.split(F.regexp_replace("label", r"[()\[\]]+$", ""), r"\."), -1)
+    of = nodes.select(F.col("id").alias("callee"), F.col("source_file").alias("path"), bare.alias("name"))
+    one = types.groupBy("path", "name").agg(F.max_by(F.struct("return_type", "is_optional", "confidence"), "confidence").alias("t"))
+    calls = links.where(F.col("relation").isin("calls", "call")).select(F.col("source").alias("caller"), F.col("target").alias("callee")).distinct()
+    return calls.join(of, "callee").join(one, ["path", "name"]).select("caller", "callee", "t.return_type", "t.is_optional", "t.confidence")
+
+
+# How test cases are opened, and paths in their names and bodies.
+TEST_OPEN = r"\b(?:it|test)(\.skip|\.only)?\s*\(\s*(['\"`])(.*?)\2\s*,"
+NAMED_PATH, WRITTEN_PATH = r"\b(?:GET|POST|PUT|PATCH|DELETE)\s+(/[^\s'\"`]*)", r"['\"`](/[A-Za-z0-9_/:${}.*-]*)['\"`]"
+SKIP_WORD = "SKIP_PG"
+
+
+def test_references(files: DataFrame, real_db: str) -> DataFrame:
+    """(path, name, route, skipped, real_db) of test files (path, content): the routes that each case names or calls.
+
+    A case's body ends at its closing brace. A case is skipped by ``.skip`` or SKIP_WORD; a file with a match of the
+    pattern ``real_db`` uses a real database where it isn't skipped.
+    """
+
+    def body(text: str, at: int) -> str:
+        start, depth = text.find("{", at), 0
+        for i in range(start, len(text)) if start >= 0 else ():
+            depth += (text[i] == "{") - (text[i] == "}")
+            if not depth:
+                return text[start : i + 1]
+        return text[start:] if start >= 0 else ""
+
+    def rows_of(path: str, text: str) -> list[tuple]:
+        live, out = bool(re.search(real_db, text)), []
+        for m in re.finditer(TEST_OPEN, text, re.S):
+            inner = body(text, m.end())
+            skipped = m[1] == ".skip" or SKIP_WORD in inner or SKIP_WORD in m[3]
+            routes = sorted({*re.findall(NAMED_PATH, m[3]), *re.findall(WRITTEN_PATH, inner)})
+            out += [(path, m[3], r, skipped, live and not skipped) for r in routes]
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([r for p, c in zip(b["path"], b["content"]) for r in rows_of(p, c or "")], columns=["path", "name", "route", "skipped", "real_db"])
+
+    found = files.select("path", "content").mapInPandas(run, "path string, name string, route string, skipped boolean, real_db boolean")
+    return found.withColumn("route", normalized_path(F.col("route"))).distinct()
+
+
 def python_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, links) of Python files: files and symbols; contains, imports_from, inherits and calls resolved by name.
 
