@@ -19,7 +19,7 @@ def first_occurrences(ranked: DataFrame) -> DataFrame:
 
 
 def per_query(ranked: DataFrame, relevant: DataFrame, ks: tuple = KS) -> DataFrame:
-    """A row a query of ranked (query_id, rank, item) against relevant (query_id, item): P, R, nDCG, hit at each k, and RR."""
+    """A row a query of ranked (query_id, rank, item) against relevant (query_id, item): P, R, nDCG, hit at each k, and RR; all 0 if nothing was found."""
     rel = relevant.select("query_id", "item").distinct()
     n_rel = rel.groupBy("query_id").agg(F.count("*").alias("n_rel"))
     marked = ranked.join(rel.withColumn("good", F.lit(1)), ["query_id", "item"], "left").withColumn("good", F.coalesce("good", F.lit(0)))
@@ -27,12 +27,12 @@ def per_query(ranked: DataFrame, relevant: DataFrame, ks: tuple = KS) -> DataFra
     for k in ks:
         top = (F.col("rank") <= k) & (F.col("good") == 1)
         cols += [F.count_if(top).alias(f"h{k}"), F.coalesce(F.sum(F.when(top, 1 / F.log2(F.col("rank") + 1))), F.lit(0.0)).alias(f"d{k}")]
-    out = marked.groupBy("query_id").agg(*cols).join(n_rel, "query_id", "left").withColumn("n_rel", F.coalesce("n_rel", F.lit(0)))
+    out = marked.groupBy("query_id").agg(*cols).join(n_rel, "query_id", "full_outer").na.fill(0, ["n_rel", "n", *[f"h{k}" for k in ks], *[f"d{k}" for k in ks]])
     names = [F.col("query_id"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("rr")]
     for k in ks:
         ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(k), F.col("n_rel").cast("int")))), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
         names += [
-            (F.col(f"h{k}") / F.least(F.lit(k), F.col("n"))).alias(f"p{k}"),
+            F.coalesce(F.try_divide(F.col(f"h{k}"), F.least(F.lit(k), F.col("n"))), F.lit(0.0)).alias(f"p{k}"),
             F.when(F.col("n_rel") > 0, F.col(f"h{k}") / F.col("n_rel")).otherwise(0.0).alias(f"r{k}"),
             F.when(F.col("n_rel") > 0, F.col(f"d{k}") / ideal).otherwise(0.0).alias(f"ndcg{k}"),
             (F.col(f"h{k}") > 0).cast("int").alias(f"hit{k}"),

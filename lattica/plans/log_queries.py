@@ -13,6 +13,7 @@ from ..operators import report as RP
 from ..operators import retrieval as R
 from ..operators import tuning as TU
 from ..sources.tables import table
+from ..streaming import live as LV
 from . import event_queries as EQ
 from . import memory_queries as MQ
 from . import node_queries as NQ
@@ -285,7 +286,19 @@ def compliance_report(spark, d):
     return GV.control_rows(n, notes, s).groupBy("control_id", "framework", "node_type").agg(F.count("*").alias("n"), F.min("source_file").alias("first"))
 
 
-_F = (audit_chain, audit_chain_altered, audit_controls, audit_rotation, query_events, query_records, metric_events, metrics_rotated, live_events, recent_events, trace_query, trace_counts, trace_successes, dropped_lines, capped_output, offloaded_output, last_outputs, redacted_traces, gold_files, commit_decisions, contradictions, judged_contradictions, faithfulness, percentiles, answerable, baseline_delta, side_by_side, harness_verdict, fixture_queries, live_quality, judge_transcripts, transcript_issues, graded_ndcg, failed_floors, ingestion_report, community_report, domain_report, learning_status, memory_hubs, dry_run, dashboard, compliance_report)
+def file_activity(spark, d):
+    """Parts as files polled three times: some grow newer, some come, some go."""
+    p = table(spark, d, "part").select(F.concat(F.lit("f"), "p_partkey").alias("path"), F.col("p_partkey").alias("k"))
+    rows = p.select(F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("poll"), "path", "k").where("not (k % 7 = 1 and poll = 1) and not (k % 7 = 2 and poll = 3)")
+    return LV.file_activity(rows.select("poll", "path", F.when((F.col("k") % 7 == 3) & (F.col("poll") > 1), 2).otherwise(1).alias("mtime")))
+
+
+def subscriptions(spark, d):
+    subs = spark.createDataFrame([("a", -1), ("b", 10**9), ("c", 5)], "subscriber string, after long")
+    return LV.kept_back(table(spark, d, "events").select(F.col("event_id").alias("seq")), subs, 100).select("subscriber", F.size("kept").alias("kept"), F.coalesce(F.try_element_at("kept", F.lit(1)), F.lit(-1)).alias("first"), "dropped")
+
+
+_F = (file_activity, subscriptions, audit_chain, audit_chain_altered, audit_controls, audit_rotation, query_events, query_records, metric_events, metrics_rotated, live_events, recent_events, trace_query, trace_counts, trace_successes, dropped_lines, capped_output, offloaded_output, last_outputs, redacted_traces, gold_files, commit_decisions, contradictions, judged_contradictions, faithfulness, percentiles, answerable, baseline_delta, side_by_side, harness_verdict, fixture_queries, live_quality, judge_transcripts, transcript_issues, graded_ndcg, failed_floors, ingestion_report, community_report, domain_report, learning_status, memory_hubs, dry_run, dashboard, compliance_report)
 QUERIES = {f.__name__: f for f in _F}
 
 # the chain is made by a recursion over the lines in order, a line a step
@@ -299,6 +312,8 @@ _CON = r"""cn AS (SELECT id, a, e, (contains(a, 'the') AND contains(a, 'thing'))
  (contains(a, 'postgres') OR contains(a, 'mysql')) AND NOT contains(a, 'sqlite') AS s2, contains(a, 'jwt') AND NOT contains(a, 'oauth') AS s3 FROM al)"""
 _RM = f"WITH {EQ._metrics()}"
 ORACLES = {
+    "file_activity": "SELECT 2 AS poll, 'f' || p_partkey AS path, CASE p_partkey % 7 WHEN 1 THEN 'added' ELSE 'modified' END AS change FROM part WHERE p_partkey % 7 IN (1, 3) UNION ALL SELECT 3, 'f' || p_partkey, 'deleted' FROM part WHERE p_partkey % 7 = 2",
+    "subscriptions": "WITH e AS (SELECT count(*) AS n, max(event_id) AS m FROM events) SELECT 'a' AS subscriber, 100 AS kept, m - 99 AS first, n - 100 AS dropped FROM e UNION ALL SELECT 'b', 0, -1, 0 FROM e UNION ALL SELECT 'c', 100, m - 99, n - 106 FROM e",
     "audit_chain": f"WITH RECURSIVE {_CHAIN} SELECT line_no, prev_sha256, sha256 FROM ch WHERE n > 0",
     "audit_chain_altered": "WITH e AS (SELECT event_id + event_id // 13 AS l FROM events WHERE event_id >= 777 ORDER BY event_id LIMIT 2) SELECT 'altered' AS form, min(l) AS bad_line FROM e UNION ALL SELECT 'left out', max(l) FROM e UNION ALL SELECT 'swapped', min(l) FROM e",
     "audit_controls": "SELECT count(*) AS events, count(*) AS AU, count(*) FILTER (event_type = 'click') AS AC, count(*) FILTER (event_type = 'view') AS SI FROM events",
