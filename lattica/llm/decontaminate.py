@@ -10,7 +10,8 @@ A window without any shingle of the item has similarity 0, so only windows that
 item of their size are fingerprinted; the result is the same and most of a corpus is passed over
 after one rolling hash a word.
 
-A document shorter than an item is its own one window for it, and verified without the index.
+A document shorter than an item is its own one window for it, and verified without the index. An item of fewer
+than five words is one shingle of all its words, and found where those stand side by side.
 
 The benchmark goes to the executors in blocks of bounded size, and documents are scanned once for
 each block: no shuffle, and no document is held beyond its own batch.
@@ -26,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 15
 #: Bounds of one block of the benchmark: items, and characters of their texts.
@@ -86,8 +88,13 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], radius: int = RADIUS):
         cache, self.radius = _Hashes(), radius
-        found = [(k, shingles(word_hashes(t, cache))) for k, t in items]
-        self.items = [(k, h) for k, h in found if len(h)]
+        words = [(k, word_hashes(t, cache)) for k, t in items]
+        self.items = [(k, shingles(w)) for k, w in words if len(w) >= SHINGLE]
+        #: By number of words: hashes of the items too short for a shingle, and whose they are.
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for k, w in words:
+            if 0 < len(w) < SHINGLE:
+                self.short.setdefault(len(w), {}).setdefault(int(shingles(w, len(w))[0]), []).append(k)
         self.sizes = np.array([len(h) for _, h in self.items], np.int64)
         prints = [_window_prints(h, len(h))[0] for _, h in self.items]
         self.prints = np.array(prints, np.uint64)
@@ -135,8 +142,21 @@ class Index:
                 out.append((self.items[i][0], 0, int(np.bitwise_count(_window_prints(h, len(h))[0] ^ self.prints[i])), s))
         return out
 
-    def search(self, h: np.ndarray, least: float) -> list[tuple[int, int, int, float]]:
-        """(item id, first word, differing bits, similarity) of the best window for each item found in shingles ``h``."""
+    def verbatim(self, words: np.ndarray) -> list[tuple[int, int, int, float]]:
+        """Rows of ``search`` for items of fewer words than a shingle: their first place."""
+        out = []
+        for m, items in self.short.items():
+            h = shingles(words, m)
+            at = np.nonzero(np.isin(h, np.fromiter(items, np.uint64, len(items))))[0]
+            some, first = np.unique(h[at], return_index=True)
+            out += [(k, int(at[f]), 0, 1.0) for x, f in zip(some.tolist(), first.tolist()) for k in items[x]]
+        return out
+
+    def search(self, words: np.ndarray, least: float) -> list[tuple[int, int, int, float]]:
+        """(item id, first word, differing bits, similarity) of the best window for each item found in a text's word hashes."""
+        return self.verbatim(words) + self._windows(shingles(words), least)
+
+    def _windows(self, h: np.ndarray, least: float) -> list[tuple[int, int, int, float]]:
         at = np.nonzero(self.maybe[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])[0]
         if not len(at) or not len(self.shingle):
             return []
@@ -175,10 +195,11 @@ class Index:
 
 def _indexes(benchmark: DataFrame, id_col: str, text_col: str):
     """One broadcast index for each block of the benchmark."""
-    items = benchmark.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).where("k is not null and t is not null")
+    items = benchmark.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).where("k is not null and t is not null").distinct()
     n = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("c")).first()
     blocks = max(1, -(-n["n"] // BLOCK_ITEMS), -(-n["c"] // BLOCK_CHARS))
     for b in range(blocks):
+        # equal items may fall to different blocks, so that none outgrows its bound
         block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == b)
         yield benchmark.sparkSession.sparkContext.broadcast(Index([(r["k"], r["t"]) for r in block.collect()]))
 
@@ -188,9 +209,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, id
 
     For an item with more words than the document, the window is the whole document, at any differing bits.
 
-    Words are runs of letters and digits, lower case. Items of fewer than five words have no shingle and
-    are not searched; null items and null or empty documents match nothing; repeated rows give repeated
-    rows. Other columns are ignored.
+    Words are runs of letters and digits, lower case. Items of fewer than five words match where they stand
+    word by word; items without a word, null items and null or empty documents match nothing; repeated rows
+    give repeated rows, of equal items each gives its own. An empty table, or benchmark, gives no row. Other
+    columns are ignored.
     """
 
     def scan(index):
@@ -199,14 +221,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, id
             for b in batches:
                 rows: list = []
                 for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    rows += [(k, *m) for m in index.value.search(shingles(word_hashes(t, cache)), least)]
+                    rows += [(k, *m) for m in index.value.search(word_hashes(t, cache), least)]
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=schema)
 
         return run
 
     names = [id_col, "item_id", "first_word", "differing_bits", "similarity"]
     kind = dict(docs.dtypes)[id_col]
-    schema = pa.schema([(names[0], {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]), ("item_id", pa.int64()), ("first_word", pa.int64()), ("differing_bits", pa.int32()), ("similarity", pa.float64())])
+    schema = pa.schema([(names[0], to_arrow_type(docs.schema[id_col].dataType)), ("item_id", pa.int64()), ("first_word", pa.int64()), ("differing_bits", pa.int32()), ("similarity", pa.float64())])
     ddl = f"`{id_col}` {kind}, item_id bigint, first_word bigint, differing_bits int, similarity double"
     out = None
     for index in _indexes(benchmark, item_id, item_text):
@@ -216,14 +238,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, id
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs`` without the rows that hold a window like a benchmark item; all columns kept, nothing shuffled."""
+    """``docs`` without the rows that hold a window like a benchmark item; all columns kept, nothing shuffled.
+
+    What ``matches`` finds nothing in stays: null and empty texts, and everything if the benchmark is empty.
+    """
 
     def keep(index):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cache = _Hashes()
             for b in batches:
                 texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
-                yield b.filter(pa.array([not index.value.search(shingles(word_hashes(t, cache)), least) for t in texts], pa.bool_()))
+                yield b.filter(pa.array([not index.value.search(word_hashes(t, cache), least) for t in texts], pa.bool_()))
 
         return run
 
