@@ -15,8 +15,8 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every document and its edited text, and their likeness."""
-    return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
+    """Fingerprints of every document and its edited text, their likeness, and the document's class of near copies."""
+    return spotsigs.fingerprints(table(spark, sf_dir, "documents"), least=spotsigs.SIMILARITY)
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -344,19 +344,38 @@ def test_spot_signatures(spark):
         assert math.isclose(r.near_edited, len(a & b) / len(a | b)) and math.isclose(r.near_next, len(a & c) / len(a | c))
 
 
-def test_spot_pairs(spark):
+def test_spot_classes(spark):
     random.seed(6)
     rows = []
-    for g in range(10):
+    for g in range(12):
         w = [random.choice(["the", "of", *[f"x{i}" for i in range(200)]]) for _ in range(200)] + ["the", "end"]
-        for c in range(3):
+        for c in range(4):
             v = w[:]
-            v[random.randrange(200)] = f"y{c}"
+            for _ in range(c):
+                v[random.randrange(200)] = f"y{c}"
             rows.append((len(rows), " ".join(v)))
+    rows += [(len(rows), rows[0][1]), (len(rows) + 1, ""), (len(rows) + 2, None), (None, rows[0][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {(r.a, r.b) for r in spotsigs.near_pairs(df, 0.6).collect()}
-    sets = {r._id: set(r._sig) for r in spotsigs.with_signatures(df.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")), "_text", "_sig").collect()}
-    assert got == {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6 and sets[a] != sets[b]}
+    sets = {r._id: frozenset(r._sig) for r in spotsigs.with_signatures(df.where("doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")), "_text", "_sig").collect()}
+    for least in (0.6, 0.8):
+        first = {k: k for k in sets}
+
+        def find(i):
+            while first[i] != i:
+                i = first[i]
+            return i
+
+        for a in sets:
+            for b in sets:
+                if a < b and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                    x, y = find(a), find(b)
+                    first[max(x, y)] = min(x, y)
+        got = {r.doc_id: (r.class_id, r.n_links) for r in spotsigs.fingerprints(df, least=least).collect()}
+        assert {k: c for k, (c, _) in got.items()} == {**{k: find(k) for k in sets}, None: 0}
+        linked = {k for k in sets if any(sets[j] != sets[k] and find(j) == find(k) for j in sets)}
+        assert {k for k, (_, n) in got.items() if n and k is not None} == linked
+        smallest = {s: min(k for k in sets if sets[k] == s) for s in sets.values()}
+        assert {(r.a, r.b) for r in spotsigs.near_pairs(df, least).collect()} == {(find(k), k) for k in smallest.values() if find(k) != k}
 
 
 def test_chat_collapse(spark):
