@@ -36,9 +36,11 @@ def _path(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def cut(df: DataFrame, observed: Observation | None = None, *metrics: Column) -> DataFrame:
+def cut(df: DataFrame, observed: Observation | None = None, *metrics: Column, compression: str = "uncompressed") -> DataFrame:
     """``df`` with its lineage cut: written as Parquet to the shared folder and read again.
 
+    Most tables here hold hashes, which don't compress; codecs hold native buffers that many small files add up.
+
     The shuffle files behind it go as soon as it is written. The table goes by ``drop``, or at the end of the
     session for those that a lazy result still reads. ``observed`` takes ``metrics`` of the rows on the way.
     """
@@ -48,7 +50,7 @@ def cut(df: DataFrame, observed: Observation | None = None, *metrics: Column) ->
     spark.conf.set(CLEANUP, "true")
     try:
         rows = df.observe(observed, *metrics) if observed is not None else df.select("*")  # a plan of its own, made under the setting
-        rows.write.parquet(path)
+        rows.write.option("compression", compression).parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     target, fs = _path(spark, path)

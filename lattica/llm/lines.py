@@ -115,19 +115,19 @@ class _Round:
         h *= _MIX
         return h ^ (h >> np.uint64(29))
 
-    def index(self, tau: int) -> tuple[np.ndarray, np.ndarray]:
-        rows = np.nonzero(self.size <= LONG_LINE)[0]
+    def index(self, tau: int, most: int = LONG_LINE) -> tuple[np.ndarray, np.ndarray]:
+        rows = np.nonzero(self.size <= most)[0]
         size = self.size[rows]
         keys = [self.key(rows, s, n, size, k) for k, (s, n) in enumerate(_segments(size, tau))]
         return np.tile(rows, tau + 1), np.concatenate(keys)
 
-    def probes(self, tau: int) -> tuple[np.ndarray, np.ndarray]:
+    def probes(self, tau: int, most: int = LONG_LINE) -> tuple[np.ndarray, np.ndarray]:
         rows, keys = [], []
         for less in range(tau + 1):
             length = self.size - less
             for k, (s, n) in enumerate(_segments(length, tau)):
                 for move in _moves(k, less, tau):
-                    ok = np.nonzero((s + move >= 0) & (s + move + n <= self.size) & (n > 0) & (length <= LONG_LINE))[0]
+                    ok = np.nonzero((s + move >= 0) & (s + move + n <= self.size) & (n > 0) & (length <= most))[0]
                     rows.append(ok)
                     keys.append(self.key(ok, (s + move)[ok], n[ok], length[ok], k))
         return np.concatenate(rows), np.concatenate(keys)
@@ -138,11 +138,11 @@ def _moves(segment: int, less: int, tau: int) -> range:
     return range(max(-segment, less - (tau - segment)), min(segment, less + (tau - segment)) + 1)
 
 
-def _long_keys(line: str, tau: int, probe: bool) -> list[int]:
-    """Keys of a line for lengths above LONG_LINE."""
+def _long_keys(line: str, tau: int, probe: bool, most: int) -> list[int]:
+    """Keys of a line for lengths above ``most``."""
     out = []
     for less in range(tau + 1 if probe else 1):
-        if (length := len(line) - less) <= LONG_LINE:
+        if (length := len(line) - less) <= most:
             continue
         for k, (s, n) in enumerate(_segments(np.array([length]), tau)):
             for move in _moves(k, less, tau) if probe else (0,):
@@ -152,16 +152,17 @@ def _long_keys(line: str, tau: int, probe: bool) -> list[int]:
     return out
 
 
-def _long_bits(line: str) -> int:
+def _long_bits(line: str, piece: int) -> int:
     """The parity sketch of a long line, piece by piece."""
     out = 0
-    for at in range(0, len(line) - 1, LONG_LINE):
-        out ^= int(_Round([line[at : at + LONG_LINE + 1]]).bits[0])
+    for at in range(0, len(line) - 1, piece):
+        out ^= int(_Round([line[at : at + piece + 1]]).bits[0])
     return out
 
 
 def _key_rows(docs: DataFrame, text_col: str, tau: int, min_chars: int, probe: bool) -> DataFrame:
     """(key, id, bits) of the distinct lines of each task, id being a line's XXH64."""
+    most = LONG_LINE
 
     def rounds(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str]]:
         seen: set[int] = set()
@@ -192,15 +193,15 @@ def _key_rows(docs: DataFrame, text_col: str, tau: int, min_chars: int, probe: b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lines in rounds(batches):
             for line in lines:
-                if len(line) > LONG_LINE:
-                    keys = np.array(_long_keys(line, tau, probe), np.uint64)
-                    yield batch(keys, np.full(len(keys), identity(line), np.uint64), np.full(len(keys), _long_bits(line), np.uint64))
-            lines = [x for x in lines if len(x) <= LONG_LINE + tau]
+                if len(line) > most:
+                    keys = np.array(_long_keys(line, tau, probe, most), np.uint64)
+                    yield batch(keys, np.full(len(keys), identity(line), np.uint64), np.full(len(keys), _long_bits(line, most), np.uint64))
+            lines = [x for x in lines if len(x) <= most + tau]
             if not lines:
                 continue
             ids = np.fromiter(map(identity, lines), np.uint64, len(lines))
             r = _Round(lines)
-            rows, keys = r.probes(tau) if probe else r.index(tau)
+            rows, keys = r.probes(tau, most) if probe else r.index(tau, most)
             for at in range(0, len(rows), 50_000):
                 own = rows[at : at + 50_000]
                 yield batch(keys[at : at + 50_000], ids[own], r.bits[own])
