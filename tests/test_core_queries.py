@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from lattica.operators import graph
-from lattica.plans import catalogue
+from lattica.plans import catalogue, graph_queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -45,10 +45,9 @@ def test_every_oracle_has_a_query():
     assert Path(__file__).exists()
 
 
-def test_gap_candidates_see_all_parts(spark, tmp_path, monkeypatch):
-    p = spark.range(1, 601).selectExpr("id as p_partkey", "concat('b', id) as p_brand", "concat('t', id % 7) as p_type", "cast(id % 5 as int) as p_size")
-    p.write.parquet(str(tmp_path / "part.parquet"))
+def test_gap_candidates_see_all_links(spark, data, monkeypatch):
     whole, seen = graph.gaps, []
-    monkeypatch.setattr(graph, "gaps", lambda e, c: seen.append(e.where("relation = 'calls'").count()) or whole(e, c))
-    catalogue.QUERIES["gap_candidates"](spark, str(tmp_path))
-    assert seen == [600]
+    monkeypatch.setattr(graph, "gaps", lambda e, c, **more: seen.append((e.count(), c.count())) or whole(e, c, **more))
+    assert catalogue.QUERIES["gap_candidates"](spark, data).count() == 10
+    n = {t: spark.read.parquet(f"{data}/{t}.parquet").count() for t in ("customer", "part")}
+    assert seen == [(graph_queries.links(spark, data).count(), sum(n.values()))]
