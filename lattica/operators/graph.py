@@ -6,7 +6,6 @@ reliable checkpoints; every hop is a join, never a driver-side walk.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np

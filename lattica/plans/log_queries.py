@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import config as C
 from ..operators import evaluation as E
 from ..operators import events as V
 from ..operators import governance as GV
 from ..operators import logs as L
 from ..operators import report as RP
-from ..operators import retrieval as R
 from ..operators import tuning as TU
 from ..sources.tables import table
 from ..streaming import live as LV
@@ -340,6 +338,11 @@ SELECT doc_id, length(a)::INT AS out, md5(a) AS out_md5, md5(b) AS err_md5 FROM
     "gold_files": "SELECT o_orderkey AS id, array_to_string(list_filter(['f' || o_orderkey || '.py', CASE WHEN o_orderkey <> o_orderkey % 2 THEN 'f' || (o_orderkey % 2) || '.py' END], lambda x: x IS NOT NULL), ',') AS files FROM orders",
     "commit_decisions": "SELECT o_orderkey::VARCHAR AS sha, CASE o_orderkey % 3 WHEN 0 THEN 'keep `Run' || o_orderkey || '()` and `x` for now' ELSE 'only ' || o_orderkey END AS rationale, CASE o_orderkey % 3 WHEN 0 THEN 'A' || o_orderkey || ',X,Run' || o_orderkey ELSE '' END AS subjects FROM orders WHERE o_orderkey % 3 < 2",
     "contradictions": f"WITH {_ANS}, {_CON} SELECT id, round(0.5::DOUBLE * (f1 AND (n_the OR n_thing))::INT / 3 + 0.5::DOUBLE * (s2::INT + s3::INT) / 3, 6) AS contradiction FROM cn WHERE NOT f2 AND NOT f3 UNION ALL SELECT id, NULL FROM cn WHERE f2 OR f3",
+    "faithfulness": f"WITH {_ANS}, {_CON}, r AS (SELECT id, (f1::INT + f2::INT + f3::INT) / 3 AS r, 0.5::DOUBLE * (f1 AND (n_the OR n_thing))::INT / 3 + 0.5::DOUBLE * (s2::INT + s3::INT) / 3 AS c FROM cn) SELECT id, round(r, 6) AS recall, round(r * (1 - c), 6) AS faithfulness FROM r",
+    "domain_report": f"""WITH {MQ._SYN}, {MQ._TR}, nd AS (SELECT node_a || '_py' AS node FROM syn UNION SELECT node_b FROM syn UNION SELECT from_node FROM tr UNION SELECT to_node FROM tr), k AS (SELECT CASE WHEN suffix(node, '_py') THEN 'code' ELSE 'unknown' END AS domain, count(*) AS n FROM nd GROUP BY 1)
+SELECT * FROM k UNION ALL SELECT 'total', sum(n)::BIGINT FROM k""",
+    "learning_status": f"""WITH {MQ._SYN}, {MQ._TR}, a AS (SELECT count(*) AS edges, count(*) FILTER (activation_count >= 5) AS lasting, round(sum(weight), 3) AS weight, (SELECT count(*) FROM tr) AS transitions, (SELECT count(*) FROM (SELECT node_a FROM syn UNION SELECT node_b FROM syn)) AS nodes FROM syn)
+SELECT *, edges > 0 AS has_data, CASE WHEN edges = 0 THEN 'dormant' WHEN edges < 10 THEN 'warming_up' WHEN lasting = 0 THEN 'learning' WHEN transitions < 5 THEN 'partially_active' ELSE 'active' END AS status, round(weight / edges, 4) AS avg_weight FROM a""",
     "percentiles": "WITH e AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events), f AS (SELECT unnest([0.0, 0.5, 0.95, 1.0])::DOUBLE AS fraction) SELECT event_type, value, fraction FROM e, f WHERE i = least(floor(n * fraction)::BIGINT, n - 1)",
     "answerable": f"{_RM} SELECT query_id, bool_or(good = 1 AND rank <= 3) AS answerable FROM mk GROUP BY 1",
     "baseline_delta": f"{_RM} SELECT m AS metric, b::DOUBLE AS baseline, round(c, 6) AS current, round(c - b, 4) AS delta FROM (SELECT 'mrr' AS m, 0.5::DOUBLE AS b, avg(rr) AS c FROM pq UNION ALL SELECT 'hit5', 1.0, avg(hit5) FROM pq)",

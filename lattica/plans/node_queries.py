@@ -10,7 +10,6 @@ from ..operators import context as X
 from ..operators import evaluation as E
 from ..operators import feedback as FB
 from ..operators import graph as G
-from ..operators import memory as M
 from ..operators import nodes as N
 from ..operators import retrieval as R
 from ..sources.tables import table
@@ -358,7 +357,9 @@ SELECT query_id, id, round(s, 5) AS score, row_number() OVER (PARTITION BY query
     "context_highlights": f"""WITH {_D}, {_H}, l AS (SELECT query_id, rank, '- ' || label || ' (docs/' || lang || '/' || doc_id || '.py) — score ' || printf('%.2f', score) AS l FROM hits JOIN dn USING (id) JOIN documents ON doc_id = id)
 SELECT query_id, md5('## Hybrid Highlights' || chr(10) || string_agg(l, chr(10) ORDER BY rank)) AS text_md5 FROM l GROUP BY 1""",
     "structural_edges": f"WITH {_L} SELECT CASE relation WHEN 'calls' THEN 'call' ELSE 'import' END AS edge_type, count(*) AS edges, count(*) AS calls FROM gl WHERE relation <> 'rationale_for' AND source <> target GROUP BY 1",
-    "nothing": "SELECT 1",
+    "transitions_imported": f"""WITH {MQ._TR}, u AS (SELECT from_node, to_node, weight, count FROM tr WHERE namespace = 'personal' UNION ALL SELECT from_node, to_node, least(100.0::DOUBLE, weight * 30), greatest(0, count - 1) FROM tr WHERE namespace = 'shared' AND from_node <> to_node)
+SELECT from_node, to_node, round(max(weight), 6) AS weight, max(count) AS count FROM u GROUP BY ALL""",
+    "namespace_cleared": f"WITH {MQ._SYN}, {MQ._TR} SELECT 'synapses' AS table, count(*) AS removed FROM syn WHERE namespace = 'shared' UNION ALL SELECT 'transitions', count(*) FROM tr WHERE namespace = 'shared'",
     "namespaces_in_use": f"WITH {MQ._SYN} SELECT DISTINCT namespace FROM syn WHERE namespace NOT IN ('shared', 'ephemeral') UNION SELECT DISTINCT CASE WHEN user_id % 3 = 0 THEN 'shared' ELSE 'personal' END AS ns FROM events WHERE ns <> 'shared'",
     "feedback_signals": f"""WITH {MQ._SYN}, {_ticked("node_a = 'p5' OR node_b = 'p5'", 'tk')}, u AS (SELECT * FROM tk UNION ALL SELECT a, b, 'personal', 0.3::DOUBLE, 1 FROM (VALUES ('p1', 'p2'), ('p1', 'p3'), ('p2', 'p3')) v(a, b)),
 g AS (SELECT node_a, node_b, namespace, least(1.0::DOUBLE, sum(weight)) AS w, sum(activation_count)::BIGINT AS c FROM u GROUP BY ALL) SELECT namespace, count(*) AS edges, round(sum(w), 4) AS weight, sum(c)::BIGINT AS fired FROM g GROUP BY 1""",
@@ -376,4 +377,3 @@ SELECT count(*) FILTER (red) AS pruned, count(*) FILTER (NOT red AND activation_
 j AS (SELECT b.s AS sb, a.s AS sa, b.c AS cb, a.c AS ca FROM q b LEFT JOIN q a ON a.namespace = 'shared' AND a.node_a = b.node_a AND a.node_b = b.node_b WHERE b.namespace = 'personal'), f AS (SELECT CASE WHEN sa > sb OR (sa = sb AND ca >= cb) THEN sa ELSE sb END AS s FROM j)
 SELECT CASE WHEN s >= 0.7 THEN 'auto_promote' WHEN s < 0.15 THEN 'reject' ELSE 'review_required' END AS outcome, count(*) AS n FROM f GROUP BY 1""",
 }
-del ORACLES["nothing"]

@@ -35,9 +35,8 @@ def code_files(spark, d):
     k = F.col("s_suppkey") + 99
     suffix, body = F.element_at(F.array(*map(F.lit, TEMPLATES)), (k % 9 + 1).cast("int")), F.lit(None).cast("string")
     for i, t in enumerate(TEMPLATES.values()):
-        parts = [F.lit(x) for x in t.replace("{{", "{").replace("}}", "}").replace("{k}", "\x00k\x00").replace("{p}", "\x00p\x00").split("\x00")]
         text = t.replace("{{", "{").replace("}}", "}").replace("{k}", "\x00k\x00").replace("{p}", "\x00p\x00").split("\x00")
-        body = F.when(k % 9 == i, F.concat(*[k.cast("string") if x == "k" else (k - 9).cast("string") if x == "p" else F.lit(x) for x in text])).otherwise(body) if parts else body
+        body = F.when(k % 9 == i, F.concat(*[k.cast("string") if x == "k" else (k - 9).cast("string") if x == "p" else F.lit(x) for x in text])).otherwise(body)
     return table(spark, d, "supplier").select(F.concat(F.lit("src"), k, F.lit("/f"), k, suffix).alias("path"), body.alias("content"))
 
 
@@ -298,6 +297,7 @@ SELECT 'doc:d' || doc_id || '.txt.' || substr(md5('docs/' || lang), 1, 8) || CAS
 SELECT regexp_replace(a.f, '[^a-z0-9]+', '_', 'g') AS source, regexp_replace(b.f, '[^a-z0-9]+', '_', 'g') AS target, 'describes' AS relation, 0.8::DOUBLE AS confidence_score FROM n a JOIN n b USING (d) WHERE a.doc AND NOT b.doc ORDER BY a.f, b.f LIMIT 50""",
     "prices": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 2 THEN NULL ELSE (c_custkey % 30) * CASE c_custkey % 2 WHEN 0 THEN 10.0::DOUBLE ELSE 20.0::DOUBLE END * CASE WHEN c_custkey % 3 = 1 THEN 10 ELSE 1 END END AS price FROM customer",
     "publishing": f"WITH {MQ._SYN}, s AS (SELECT weight, CASE namespace WHEN 'shared' THEN 'team' ELSE 'personal' END AS scope, activation_count % 2 = 1 AS on_ FROM syn WHERE namespace IN ('personal', 'shared')) SELECT scope, on_ AS \"on\", NOT on_ OR (scope <> 'personal' AND weight >= 0.4) AS allowed, count(*) AS n FROM s GROUP BY ALL",
+    "loser_weights": f"WITH {MQ._SYN}, {MQ._CON} SELECT node_a, node_b, namespace, round(greatest(0.01::DOUBLE, round(score, 6) * greatest(0.1::DOUBLE, 0.5::DOUBLE - 0.15::DOUBLE)), 4) AS weight FROM con",
     "reachable_projects": "SELECT c_custkey AS client, 'p' || c_nationkey AS project FROM customer UNION SELECT c_custkey, 'shared' FROM customer UNION SELECT c_custkey + 1, 'p' || c_nationkey FROM customer WHERE c_custkey + 1 IN (SELECT c_custkey FROM customer)",
     "memory_nodes": f"WITH {MQ._SYN}, mn AS (SELECT node_a AS node FROM syn UNION SELECT node_b FROM syn UNION SELECT node FROM (SELECT event_type || '_' || (trunc(value)::INT % 5) AS node, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, lag(event_type || '_' || (trunc(value)::INT % 5)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b, lead(event_type || '_' || (trunc(value)::INT % 5)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS f FROM events) WHERE b <> node OR f <> node) SELECT count(*) AS n, min(node) AS first FROM mn",
     "validation_summary": f"""WITH {NQ._N}, {NQ._L}, en AS (SELECT source AS id FROM gl UNION ALL SELECT target FROM gl), i AS (SELECT 'error' AS severity, 'dangling' AS kind, count(*) AS n FROM en WHERE id NOT IN (SELECT id FROM gn) GROUP BY id UNION ALL SELECT 'warning', 'orphan', 1 FROM gn WHERE id NOT IN (SELECT id FROM en))
