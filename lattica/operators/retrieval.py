@@ -192,3 +192,15 @@ def hits_by_count(docs: DataFrame, terms: list[str], k: int = 5, id_col: str = "
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit("[a-z0-9_]+"), F.lit(0))
     counted = docs.select(F.col(id_col).alias("id"), F.size(F.filter(words, lambda w: w.isin(terms))).alias("hits"))
     return counted.where("hits > 0").orderBy(F.desc("hits"), "id").limit(k)
+
+
+def files_of_hits(hits: DataFrame, chunks: DataFrame, k: int = 8) -> DataFrame:
+    """(query_id, files, tokens) of hits (query_id, rank, id) on chunks (id, file, text): the distinct files of the first k in order, and what their chunks cost."""
+    rows = hits.where(F.col("rank") <= k).join(chunks, "id").groupBy("query_id", "file").agg(F.min("rank").alias("rank"), F.sum(F.floor(F.length("text") / C.CHARS_PER_TOKEN)).alias("tokens"))
+    return rows.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "file"))), lambda s: s["file"]).alias("files"), F.sum("tokens").alias("tokens"))
+
+
+def whole_corpus(files: DataFrame, gold: DataFrame) -> DataFrame:
+    """(query_id, gold, files, tokens): what reading all files (file, text) costs for each question's gold files (query_id, file): all are found."""
+    cost = files.agg(F.count("*").alias("files"), F.sum(F.floor(F.length(F.coalesce("text", F.lit(""))) / C.CHARS_PER_TOKEN)).alias("tokens"))
+    return gold.join(files.select("file"), "file", "left_semi").groupBy("query_id").agg(F.count("*").alias("gold")).crossJoin(F.broadcast(cost))  # one row

@@ -198,6 +198,19 @@ def context_highlights(spark, d):
     return X.highlights(_hits(spark, d), doc_nodes(spark, d)).select("query_id", F.md5("text").alias("text_md5"))
 
 
+def rag_files(spark, d):
+    """Files of the best hits, and what their texts cost."""
+    chunks = doc_nodes(spark, d).select("id", F.concat(F.lit("f"), "community").alias("file"), F.col("text"))
+    r = R.files_of_hits(_hits(spark, d), chunks, 4)
+    return r.select("query_id", F.array_join("files", ",").alias("files"), "tokens")
+
+
+def whole_corpus(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("file"), "text")
+    gold = table(spark, d, "labels").select(F.col("quality").alias("query_id"), F.col("doc_id").alias("file"))
+    return R.whole_corpus(docs, gold)
+
+
 # --- feedback
 
 
@@ -285,7 +298,7 @@ def drift_findings(spark, d):
     return G.drift(changed, m, o).select("node", "associate", "peers", "size")
 
 
-_F = (node_texts, node_metadata, file_nodes, file_links, nodes_by_ids, nodes_deleted, graph_stats, community_summaries, node_rationales, probe_queries, self_probe, file_skeletons, drawn_graph, symbol_index, context_identity, context_summary, context_areas, context_lifted, context_hits, context_assembled, context_highlights, structural_edges, transitions_imported, namespaces_in_use, namespace_cleared, feedback_signals, files_activated, files_deactivated, edit_reuse, tool_steps, cross_domains, files_at_risk, document_seeds, sleep_report, team_import, drift_findings)
+_F = (node_texts, node_metadata, file_nodes, file_links, nodes_by_ids, nodes_deleted, graph_stats, community_summaries, node_rationales, probe_queries, self_probe, file_skeletons, drawn_graph, symbol_index, context_identity, context_summary, context_areas, context_lifted, context_hits, context_assembled, context_highlights, rag_files, whole_corpus, structural_edges, transitions_imported, namespaces_in_use, namespace_cleared, feedback_signals, files_activated, files_deactivated, edit_reuse, tool_steps, cross_domains, files_at_risk, document_seeds, sleep_report, team_import, drift_findings)
 QUERIES = {f.__name__: f for f in _F}
 
 _N = r"""gn AS (SELECT 'p' || p_partkey AS id, CASE WHEN p_partkey % 10 = 0 THEN '  The ' || p_name || chr(10) || ' of ' || p_brand || '. ' ELSE replace(p_name, ' ', '_') || '_' || (p_partkey % 7) || '()' END AS label,
@@ -356,6 +369,9 @@ g AS (SELECT query_id, community, sum(s) AS s FROM u GROUP BY ALL), k AS (SELECT
 SELECT query_id, id, round(s, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN query_id = 2 THEN rank END, s DESC, rank)::INT AS rank FROM w""",
     "context_highlights": f"""WITH {_D}, {_H}, l AS (SELECT query_id, rank, '- ' || label || ' (docs/' || lang || '/' || doc_id || '.py) — score ' || printf('%.2f', score) AS l FROM hits JOIN dn USING (id) JOIN documents ON doc_id = id)
 SELECT query_id, md5('## Hybrid Highlights' || chr(10) || string_agg(l, chr(10) ORDER BY rank)) AS text_md5 FROM l GROUP BY 1""",
+    "rag_files": f"""WITH {_D}, {_H}, c AS (SELECT query_id, 'f' || community AS file, min(rank) AS r, sum(length(substr(replace(text, chr(10), ' '), 1, 300)) // 4)::BIGINT AS t FROM hits JOIN dn USING (id) JOIN documents ON doc_id = id WHERE rank <= 4 GROUP BY ALL)
+SELECT query_id, string_agg(file, ',' ORDER BY r) AS files, sum(t)::BIGINT AS tokens FROM c GROUP BY 1""",
+    "whole_corpus": "SELECT quality AS query_id, count(*) AS gold, (SELECT count(*) FROM documents) AS files, (SELECT sum(length(coalesce(text, '')) // 4)::BIGINT FROM documents) AS tokens FROM labels WHERE doc_id IN (SELECT doc_id FROM documents) GROUP BY 1",
     "structural_edges": f"WITH {_L} SELECT CASE relation WHEN 'calls' THEN 'call' ELSE 'import' END AS edge_type, count(*) AS edges, count(*) AS calls FROM gl WHERE relation <> 'rationale_for' AND source <> target GROUP BY 1",
     "transitions_imported": f"""WITH {MQ._TR}, u AS (SELECT from_node, to_node, weight, count FROM tr WHERE namespace = 'personal' UNION ALL SELECT from_node, to_node, least(100.0::DOUBLE, weight * 30), greatest(0, count - 1) FROM tr WHERE namespace = 'shared' AND from_node <> to_node)
 SELECT from_node, to_node, round(max(weight), 6) AS weight, max(count) AS count FROM u GROUP BY ALL""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import line_number
@@ -72,10 +72,19 @@ def importer_index(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return j.where("node <> other").select("node", "other").distinct()
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, line_no) of text files, lines counted from 0 over files by name; blocks are counted, not lines sorted."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_s"), F.monotonically_increasing_id().alias("_m"))
+    blocks = lines.groupBy("_f", "_s").agg(F.min("_m").alias("_first"), F.count("*").alias("_n"))
+    before = Window.orderBy("_f", "_s").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    blocks = blocks.select(F.col("_f").alias("_bf"), F.col("_s").alias("_bs"), "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return lines.join(blocks, (F.col("_f") == F.col("_bf")) & (F.col("_s") == F.col("_bs"))).select("value", (F.col("_before") + F.col("_m") - F.col("_first")).alias("line_no"))
+
+
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines with their line number; malformed, blank and over-long lines are left out."""
-    lines = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
-    rows = lines.where((F.length("value") > 0) & (F.length("value") <= 1_000_000)).withColumn("r", F.from_json("value", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    """JSON lines with their line number; malformed, blank and over-long lines are left out, but counted."""
+    lines = numbered_lines(spark, path)
+    rows = lines.where((F.length(F.trim("value")) > 0) & (F.length("value") <= 1_000_000)).withColumn("r", F.from_json("value", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     return rows.where("r._bad is null").select("line_no", "r.*").drop("_bad")
 
 

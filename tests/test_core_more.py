@@ -357,3 +357,13 @@ def test_index_object(spark, project, tmp_path):
     (tmp_path / "g.json").write_text(json.dumps({"nodes": [{"id": "a", "label": "a()", "source_file": "a.py"}], "links": []}))
     assert api.Index.load(spark, str(tmp_path / "g.json"), "x", *none).search([(0, "a.py")], 3).count() == 1
     assert index.refined(None, enabled=False) is index
+
+
+def test_line_numbers(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("".join(f'{{"k": {i}}}\n' if i % 5 else "\n" if i % 2 else "broken\n" for i in range(400)))
+    (tmp_path / "b.jsonl").write_text('{"k": 400}\n')
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    got = {r.line_no: r.k for r in graphs.read_log(spark, str(tmp_path), "k int").collect()}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {i: i for i in range(401) if i % 5 or i == 400}
