@@ -17,6 +17,28 @@ PAIR = ["node_a", "node_b", "namespace"]
 STEP = ["from_node", "to_node", "namespace"]
 
 
+#: Nodes of a batch from which it is dealt to blocks.
+BLOCK_NODES = 1_000
+
+
+def _pairs(nodes: DataFrame) -> DataFrame:
+    """Rows of ``nodes`` (batch, node, …) with other: every greater node of the same batch.
+
+    A large batch is cut into blocks by hash and each pair of blocks is a task's work, so that the square of its size
+    isn't one task's. A pair meets in the one pair of blocks that its nodes belong to.
+    """
+    large = nodes.groupBy("batch").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_NODES).select("batch", F.ceil(F.col("n") / BLOCK_NODES).cast("int").alias("_blocks"))
+    few = nodes if large.isEmpty() else nodes.join(large, "batch", "left_anti")
+    out = few.join(few.select("batch", F.col("node").alias("other")), "batch").where(F.col("node") < F.col("other"))
+    if few is nodes:
+        return out
+    own = nodes.join(large, "batch").withColumn("_b", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")).withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    own = own.withColumn("_i", F.least("_b", "_c")).withColumn("_j", F.greatest("_b", "_c"))
+    theirs = own.select("batch", "_i", "_j", F.col("node").alias("other"), F.col("_b").alias("_d"))
+    met = own.join(theirs, ["batch", "_i", "_j"]).where((F.col("node") < F.col("other")) & (F.least("_b", "_d") == F.col("_i")) & (F.greatest("_b", "_d") == F.col("_j")))
+    return out.unionByName(met.select(*out.columns))
+
+
 def reinforce(old: DataFrame | None, batches: DataFrame, strength: float = 1.0) -> DataFrame:
     """``old`` synapses with every pair of distinct nodes of each batch (batch, node, ts, namespace) strengthened.
 
@@ -24,8 +46,7 @@ def reinforce(old: DataFrame | None, batches: DataFrame, strength: float = 1.0)
     """
     step = C.LEARNING_RATE * min(max(strength, 0.0), 2.0)
     nodes = batches.select("batch", "node", "ts", "namespace").distinct()
-    a, b = nodes.alias("a"), nodes.select("batch", F.col("node").alias("other")).alias("b")
-    pairs = a.join(b, "batch").where(F.col("node") < F.col("other"))
+    pairs = _pairs(nodes)
     fired = pairs.groupBy(F.col("node").alias("node_a"), F.col("other").alias("node_b"), "namespace").agg(
         F.count("*").alias("activation_count"), F.max("ts").alias("last_activated"), F.min("ts").alias("created_at")
     ).withColumn("weight", F.col("activation_count") * step)

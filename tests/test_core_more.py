@@ -367,3 +367,11 @@ def test_line_numbers(spark, tmp_path):
     got = {r.line_no: r.k for r in graphs.read_log(spark, str(tmp_path), "k int").collect()}
     spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert got == {i: i for i in range(401) if i % 5 or i == 400}
+
+
+def test_large_baskets_make_each_pair_once(spark, monkeypatch):
+    rows = [("big", f"n{i:02d}", 1.0, "p") for i in range(23)] + [("small", f"n{i:02d}", 2.0, "p") for i in range(4)]
+    df = spark.createDataFrame(rows, "batch string, node string, ts double, namespace string")
+    want = sorted(map(tuple, memory.reinforce(None, df).collect()))
+    monkeypatch.setattr(memory, "BLOCK_NODES", 5)
+    assert sorted(map(tuple, memory.reinforce(None, df).collect())) == want and len(want) == 23 * 22 // 2
