@@ -142,7 +142,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     license_id: the licence that the whole text is, or null. notices: the licences of the lines that
     are known notices, sorted, with commas; empty if none. Null texts count as empty, and an empty text is
-    no licence. Repeated rows give repeated rows; other columns are ignored.
+    no licence. Repeated rows give repeated rows, an empty table an empty result; other columns are ignored.
     """
     known = known_digests(docs.sparkSession)
     by_digest = F.create_map(*[F.lit(x) for r in known.collect() for x in (r["known_digest"], r["license_id"])])  # KNOWN's size

@@ -170,8 +170,8 @@ def score(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
     """The id of every row of ``docs`` and score (0 to 1); ``labelled`` (text, label) is what the model learns from.
 
     Null and empty texts have no feature: they get the score of the bias. Repeated rows get equal scores.
-    With no labelled rows, or of one label only, all scores are that label's smoothed share. Other columns
-    are ignored.
+    With no labelled rows, or of one label only, all scores are that label's smoothed share. An empty table
+    gives an empty result. Other columns are ignored.
     """
     chosen, weights = train(labelled)
     model = docs.sparkSession.sparkContext.broadcast((chosen, weights))
