@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a two-column table of numbers counts as small enough to broadcast (about 3 MB).
@@ -76,10 +76,11 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b), stored; component is the smallest node reachable.
 
-    Alternating large-star and small-star rounds: each is a grouped minimum (combined before the
-    shuffle) and a join, so a node with very many neighbours is never gathered in one place. Edges
-    stay in executors; the driver gets a count and a digest a round. Empty edges give no rows. Raises
-    if ``max_rounds`` don't do, rather than to return parts of components.
+    Alternating large-star and small-star rounds. A large star is a grouped minimum (combined before the
+    shuffle) and a join, so a node with very many greater neighbours is never gathered in one place; a small
+    star is a window over a node's smaller neighbours, which are few. Edges stay in executors; the driver gets
+    a count and a digest a round. Empty edges give no rows. Raises if ``max_rounds`` don't do, rather than to
+    return parts of components.
     """
 
     def marked(rows: DataFrame) -> tuple[DataFrame, tuple]:
@@ -98,11 +99,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
             both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .where("u <> v").distinct()
         )
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small_star = (
-            large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        )
+        # a node's smaller neighbours, of which the large star has left the least of each of its neighbourhoods
+        low = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        small_star = low.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         last, before = e, digest
         e, digest = marked(small_star)
         drop(last)
