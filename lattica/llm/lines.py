@@ -269,9 +269,9 @@ def dropped_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, i
     rows = cut(places.join(small(wanted, wanted.count()), "h").select("id", "row", "pos", "h", "g", "component", here.alias("here")))
     drop(places, comp, wanted)
     firsts = cut(rows.groupBy("h", "g", "component").agg(F.min("here").alias("own")))
-    lead = firsts.where("component is not null").groupBy("component").agg(F.min("own").alias("lead"))
-    known = cut(firsts.join(lead, "component", "left").select("h", "g", "own", F.coalesce("lead", "own").alias("lead")))
-    drop(firsts)
+    lead = cut(firsts.where("component is not null").groupBy("component").agg(F.min("own").alias("lead")))
+    known = cut(firsts.join(small(lead, lead.count()), "component", "left").select("h", "g", "own", F.coalesce("lead", "own").alias("lead")))
+    drop(firsts, lead)
     gone = rows.join(small(known, known.count()), ["h", "g"]).where(F.col("here") != F.col("lead"))
     again = F.col("here") != F.col("own")
     out = cut(
