@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,10 +38,22 @@ def _path(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def cut(df: DataFrame, observed: Observation | None = None, *metrics: Column, compression: str = "uncompressed") -> DataFrame:
-    """``df`` with its lineage cut: written as Parquet to the shared folder and read again.
+#: How ``cut`` stores tables, unless told otherwise.
+_CODEC = ContextVar("codec", default="snappy")
+
 
-    Most tables here hold hashes, which don't compress; codecs hold native buffers that many small files add up.
+@contextmanager
+def stored_as(codec: str) -> Iterator[None]:
+    """Within it, ``cut`` stores tables with that codec."""
+    before = _CODEC.set(codec)
+    try:
+        yield
+    finally:
+        _CODEC.reset(before)
+
+
+def cut(df: DataFrame, observed: Observation | None = None, *metrics: Column) -> DataFrame:
+    """``df`` with its lineage cut: written as Parquet to the shared folder and read again.
 
     The shuffle files behind it go as soon as it is written. The table goes by ``drop``, or at the end of the
     session for those that a lazy result still reads. ``observed`` takes ``metrics`` of the rows on the way.
@@ -50,7 +64,7 @@ def cut(df: DataFrame, observed: Observation | None = None, *metrics: Column, co
     spark.conf.set(CLEANUP, "true")
     try:
         rows = df.observe(observed, *metrics) if observed is not None else df.select("*")  # a plan of its own, made under the setting
-        rows.write.option("compression", compression).parquet(path)
+        rows.write.option("compression", _CODEC.get()).parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     target, fs = _path(spark, path)
