@@ -1,11 +1,11 @@
-"""The ten registered queries: each applies its operator with production parameters to its whole table."""
+"""The registered queries: each applies its operator with production parameters to its whole table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, lines, mixing, pii, quality, simhash, spotsigs, toxicity
+from . import chat, decontaminate, licenses, lines, mixing, periodic, pii, quality, simhash, spotsigs, toxicity
 from .common import table
 
 
@@ -66,6 +66,17 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_runs, the most repeated run, and digests of all runs and of the collapsed text, of every document."""
+    found = periodic.runs(periodic.planted(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    listed = F.array_join(F.transform("_runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    found = found.withColumn("best", periodic.best(F.col("_runs"))).withColumn("n_runs", F.size("_runs").cast("bigint"))
+    return found.select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period", F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("bigint").alias("exponent_milli"),
+        F.sha2(F.when(F.col("n_runs") > 0, F.concat(listed, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"), F.sha2("_collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_spotsigs": op2_spotsigs,
@@ -77,10 +88,12 @@ QUERIES = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_pii_surrogates": op10_pii_surrogates,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
     "op3_chat_formatting": chat.ORACLE,
     "op7_mixing_to_target_weights": mixing.ORACLE,
     "op9_license_scan": licenses.ORACLE,
+    "op12_periodic_runs": periodic.ORACLE,
 }

@@ -18,12 +18,13 @@ def test_equals_sql(spark, data, name):
     want = c.sql(queries.ORACLES[name]).df()
     names = sorted(got.columns)
     assert names == sorted(want.columns)
-    plain = lambda df: sorted(tuple(map(str, r)) for r in df[names].astype(object).where(df[names].notna(), None).itertuples(index=False))
+    one = lambda v: str(int(v)) if isinstance(v, float) and v.is_integer() else str(v)  # noqa: E731  # a column of whole numbers with nulls
+    plain = lambda df: sorted(tuple(map(one, r)) for r in df[names].astype(object).where(df[names].notna(), None).itertuples(index=False))
     assert plain(got) == plain(want)
 
 
-def test_all_ten_are_registered():
-    assert sorted({int(n[2:].split("_")[0]) for n in queries.QUERIES}) == list(range(1, 11))
+def test_all_are_registered():
+    assert sorted({int(n[2:].split("_")[0]) for n in queries.QUERIES}) == [*range(1, 11), 12]
 
 
 def test_pipeline(spark, data, tmp_path):
