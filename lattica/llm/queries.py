@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, lines, mixing, periodic, pii, quality, simhash, spotsigs, toxicity
+from . import align, chat, decontaminate, licenses, lines, mixing, periodic, pii, quality, simhash, spotsigs, toxicity
 from .common import table
 
 
@@ -77,6 +77,13 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, groups and links of two tokenizers in every document, and what the corpus says of its links."""
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    found = align.aligned(table(spark, sf_dir, "documents").select("doc_id", "text"), groups=digest)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_spotsigs": op2_spotsigs,
@@ -89,6 +96,7 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_pii_surrogates": op10_pii_surrogates,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 ORACLES: dict[str, str] = {
