@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, chat, decontaminate, licenses, lines, mixing, periodic, pii, quality, simhash, spotsigs, toxicity
+from . import align, chat, decontaminate, licenses, lines, mixing, periodic, pii, quality, secret_scan, simhash, spotsigs, toxicity
 from .common import table
 
 
@@ -66,6 +66,15 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans of every document, counted and digested, and all spans with those of the randomness tests."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda kind: F.size(F.filter("_secrets", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    base = F.filter("_secrets", lambda x: x["kind"] != "random")
+    return found.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("_secrets")).alias("spans"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_runs, the most repeated run, and digests of all runs and of the collapsed text, of every document."""
     found = periodic.runs(periodic.planted(table(spark, sf_dir, "documents").select("doc_id", "text")))
@@ -95,6 +104,7 @@ QUERIES = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_pii_surrogates": op10_pii_surrogates,
+    "op11_secret_scan": op11_secret_scan,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
