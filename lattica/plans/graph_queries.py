@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import communities as K
 from ..operators import graph as G
 from ..sources.tables import table
 
@@ -105,7 +106,23 @@ def importer_closure(spark, d):
     return G.closure(e, _nodes(spark, "c1", "n3"))
 
 
-_F = (structural_views, structural_neighbors, structural_recall, blast_radius, cohesion_outliers, drift_intervals, relevance_spans, peer_groups, graph_degrees, ir_validation, betweenness, gap_candidates, louvain, label_propagation, importer_closure)
+def modularity_communities(spark, d):
+    """Communities of nations and brands that trade with one another, by the number of orders."""
+    li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    rows = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    e = rows.groupBy(F.concat(F.lit("n"), "c_nationkey").alias("a"), F.col("p_brand").alias("b")).agg(F.count("*").cast("double").alias("weight"))
+    return K.communities(e)
+
+
+def stable_communities(spark, d):
+    """Customers dealt anew, by nation and balance: which of the communities are the nations of before."""
+    c = table(spark, d, "customer")
+    old = c.where("c_custkey % 11 <> 3").select(F.col("c_custkey").alias("node"), F.col("c_nationkey").cast("bigint").alias("community"))
+    new = c.where("c_custkey % 13 <> 5").select(F.col("c_custkey").alias("node"), ((F.col("c_nationkey") * 7 + F.when(F.col("c_acctbal") < 0, 1).otherwise(0)) % 40).cast("bigint").alias("community"))
+    return K.stable_ids(old, new)
+
+
+_F = (modularity_communities, stable_communities, structural_views, structural_neighbors, structural_recall, blast_radius, cohesion_outliers, drift_intervals, relevance_spans, peer_groups, graph_degrees, ir_validation, betweenness, gap_candidates, louvain, label_propagation, importer_closure)
 QUERIES = {f.__name__: f for f in _F}
 
 _L = """bought AS (SELECT DISTINCT o_custkey, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
@@ -116,6 +133,16 @@ vw AS (SELECT DISTINCT s AS node, CASE r WHEN 'contains' THEN 'members' WHEN 'ca
 _SPANS = "sp AS (SELECT l_orderkey AS path, l_orderkey || '_' || l_linenumber AS id, l_linenumber * 10 AS line, lead(l_linenumber * 10) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_orderkey || '_' || l_linenumber) AS nxt FROM lineitem)"
 _CAPPED = "be AS (SELECT *, CASE view WHEN 'callers' THEN 0 WHEN 'importers' THEN 1 ELSE 2 END AS place FROM (SELECT *, row_number() OVER (PARTITION BY node, view ORDER BY other) AS nth FROM vw WHERE view IN ('callers', 'importers', 'subclasses', 'implementers')) WHERE nth <= 50)"
 ORACLES = {
+    "stable_communities": """WITH RECURSIVE o AS (SELECT c_custkey AS node, c_nationkey AS o FROM customer WHERE c_custkey % 11 <> 3),
+n AS (SELECT c_custkey AS node, (c_nationkey * 7 + CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END) % 40 AS c FROM customer WHERE c_custkey % 13 <> 5),
+shared AS (SELECT c, o, row_number() OVER (ORDER BY count(*) DESC, o, c) AS i FROM n JOIN o USING (node) GROUP BY c, o),
+greedy AS (SELECT 0::BIGINT AS i, [-1]::BIGINT[] AS cs, [-1]::BIGINT[] AS os UNION ALL
+ SELECT s.i, CASE WHEN list_contains(cs, s.c) OR list_contains(os, s.o) THEN cs ELSE list_append(cs, s.c) END,
+  CASE WHEN list_contains(cs, s.c) OR list_contains(os, s.o) THEN os ELSE list_append(os, s.o) END FROM greedy g JOIN shared s ON s.i = g.i + 1),
+last AS (SELECT cs, os FROM greedy ORDER BY i DESC LIMIT 1), matched AS (SELECT unnest(cs) AS c, unnest(os) AS o FROM last),
+every AS (SELECT c, min(node) AS least FROM n GROUP BY c),
+fresh AS (SELECT c, row_number() OVER (ORDER BY least) AS nth FROM every WHERE c NOT IN (SELECT c FROM matched))
+SELECT c AS community, o AS id FROM matched WHERE c >= 0 UNION ALL SELECT c, (SELECT max(o) FROM o) + nth FROM fresh""",
     "structural_views": f"WITH {_L} SELECT view, count(*) AS pairs, count(DISTINCT node) AS nodes FROM vw GROUP BY view",
     "structural_neighbors": f"WITH {_L} SELECT node, view, count(*) AS n, string_agg(other, ',' ORDER BY other) AS others FROM vw WHERE node IN ('n1', 'c1', 'p1', 's1') GROUP BY ALL",
     "structural_recall": f"""WITH {_L}, m AS (SELECT *, CASE view WHEN 'callers' THEN 1.0::DOUBLE WHEN 'callees' THEN 0.9::DOUBLE WHEN 'bases' THEN 0.8::DOUBLE WHEN 'subclasses' THEN 0.7::DOUBLE END AS w, count(*) OVER (PARTITION BY node, view) AS dg FROM vw WHERE node IN ('c1', 'c2', 'p10') AND view IN ('callers', 'callees', 'bases', 'subclasses'))
