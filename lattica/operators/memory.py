@@ -17,26 +17,27 @@ PAIR = ["node_a", "node_b", "namespace"]
 STEP = ["from_node", "to_node", "namespace"]
 
 
-#: Nodes of a batch from which it is dealt to blocks.
+#: Nodes of a block, into which a larger batch is dealt.
 BLOCK_NODES = 1_000
 
 
 def _pairs(nodes: DataFrame) -> DataFrame:
     """Rows of ``nodes`` (batch, node, …) with other: every greater node of the same batch.
 
-    A large batch is cut into blocks by hash and each pair of blocks is a task's work, so that the square of its size
-    isn't one task's. A pair meets in the one pair of blocks that its nodes belong to.
+    A batch is one group, whose rows meet where they have been counted; a larger one than BLOCK_NODES is cut into blocks by
+    hash and each pair of blocks is a group, so that the square of its size isn't one task's. A pair meets in the one group
+    that its nodes' blocks name.
     """
-    large = nodes.groupBy("batch").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_NODES).select("batch", F.ceil(F.col("n") / BLOCK_NODES).cast("int").alias("_blocks"))
-    few = nodes if large.isEmpty() else nodes.join(large, "batch", "left_anti")
-    out = few.join(few.select("batch", F.col("node").alias("other")), "batch").where(F.col("node") < F.col("other"))
-    if few is nodes:
-        return out
-    own = nodes.join(large, "batch").withColumn("_b", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")).withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    names = nodes.columns
+    blocks = F.ceil(F.count("*").over(Window.partitionBy("batch")) / BLOCK_NODES).cast("int")
+    own = nodes.where("batch is not null and node is not null").withColumn("_n", blocks).withColumn("_b", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int"))
+    own = own.withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     own = own.withColumn("_i", F.least("_b", "_c")).withColumn("_j", F.greatest("_b", "_c"))
-    theirs = own.select("batch", "_i", "_j", F.col("node").alias("other"), F.col("_b").alias("_d"))
-    met = own.join(theirs, ["batch", "_i", "_j"]).where((F.col("node") < F.col("other")) & (F.least("_b", "_d") == F.col("_i")) & (F.greatest("_b", "_d") == F.col("_j")))
-    return out.unionByName(met.select(*out.columns))
+    groups = own.groupBy("batch", "_i", "_j").agg(F.collect_list(F.struct(*[c for c in names if c != "batch"], "_b")).alias("_all"))
+    mine = groups.select("batch", "_i", "_j", "_all", F.explode("_all").alias("_x"))
+    here = lambda y: (y["node"] > F.col("_x.node")) & (F.least(y["_b"], F.col("_x._b")) == F.col("_i")) & (F.greatest(y["_b"], F.col("_x._b")) == F.col("_j"))
+    met = mine.select("batch", "_x", F.explode(F.filter("_all", here)).alias("_y"))
+    return met.select(*[F.col(c) if c == "batch" else F.col(f"_x.{c}") for c in names], F.col("_y.node").alias("other"))
 
 
 def reinforce(old: DataFrame | None, batches: DataFrame, strength: float = 1.0) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..base import fresh_folder
 from ..operators import memory as M
 from ..operators import team as TM
+from ..operators.store import SynapseStore
 from ..sources.tables import table
 
 NOW = 915148800.0  # 1999-01-01
@@ -18,9 +20,7 @@ def _ns(priority):
 
 def synapses(spark, d):
     """Parts bought in one order fire together; the order's priority gives the namespace."""
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("batch"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).cast("double").alias("ts"), _ns(F.col("o_orderpriority")).alias("namespace"))
-    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("batch"), F.concat(F.lit("p"), "l_partkey").alias("node"))
-    return M.reinforce(None, li.join(o, "batch"))
+    return M.reinforce(None, _activations(spark, d))
 
 
 def transitions(spark, d):
@@ -32,6 +32,29 @@ def _r(df, *cols):
     return df.select(*[F.round(c, 6).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
+def _activations(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("batch"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).cast("double").alias("ts"), _ns(F.col("o_orderpriority")).alias("namespace"))
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("batch"), F.concat(F.lit("p"), "l_partkey").alias("node"))
+    return li.join(o, "batch")
+
+
+def _stored(spark, d):
+    """A store that has learned the orders before and after a day, in two batches."""
+    rows, middle = _activations(spark, d), F.lit(800_000_000.0)
+    out = SynapseStore.create(spark, f"{fresh_folder(spark, 'synapses')}/rows")
+    return out.reinforce(rows.where(F.col("ts") < middle)).reinforce(rows.where(F.col("ts") >= middle))
+
+
+def synapses_stored(spark, d):
+    """coactivation_reinforce by a store of buckets."""
+    return _r(_stored(spark, d).synapses(), "weight")
+
+
+def spread_stored(spark, d):
+    """spread_activation by a store of buckets."""
+    return _r(_stored(spark, d).spread(_seeds(spark)), "energy")
+
+
 def coactivation_reinforce(spark, d):
     return _r(synapses(spark, d), "weight")
 
@@ -167,7 +190,7 @@ def domain_breakdown(spark, d):
     return table(spark, d, "pages").select(node.alias("node")).select("node", domain(F.col("node")).alias("domain")).groupBy("node", "domain").agg(F.count("*").alias("n"))
 
 
-_F = (coactivation_reinforce, synapse_decay, decay_one_node, learned_half_life, merged_namespace_read, synapse_neighbors, spread_activation, spread_contributions, hub_normalize, synapse_stats, top_pairs, penalize_prune, import_max_merge, prune_stale, transition_learn, next_likely, top_transition_groups, transition_margin, structural_seeds, promote_lasting, contribution_score, peer_review, conflict_merge, team_bundle, team_bundle_hash, staleness, sleep_redundant, domain_breakdown)
+_F = (synapses_stored, spread_stored, coactivation_reinforce, synapse_decay, decay_one_node, learned_half_life, merged_namespace_read, synapse_neighbors, spread_activation, spread_contributions, hub_normalize, synapse_stats, top_pairs, penalize_prune, import_max_merge, prune_stale, transition_learn, next_likely, top_transition_groups, transition_margin, structural_seeds, promote_lasting, contribution_score, peer_review, conflict_merge, team_bundle, team_bundle_hash, staleness, sleep_redundant, domain_breakdown)
 QUERIES = {f.__name__: f for f in _F}
 
 _SYN = """n AS (SELECT DISTINCT l_orderkey AS batch, 'p' || l_partkey AS node FROM lineitem),
@@ -237,3 +260,4 @@ SELECT node_a, node_b, namespace, round(weight * pow(2.0::DOUBLE, -5.0::DOUBLE /
     "sleep_redundant": f"WITH {_SYN} SELECT namespace, count(*) AS n FROM syn WHERE weight / 100 < 0.01 AND activation_count <= 1 AND last_activated < {NOW}::DOUBLE - 60 * 86400 AND created_at < {NOW}::DOUBLE - 60 * 86400 GROUP BY 1",
     "domain_breakdown": f"""SELECT [{', '.join(f"'{n}'" for n, _ in DOMAINS)}][(page_id % {len(DOMAINS)} + 1)::INT] AS node, [{', '.join(f"'{k}'" for _, k in DOMAINS)}][(page_id % {len(DOMAINS)} + 1)::INT] AS domain, count(*) AS n FROM pages GROUP BY 1, 2""",
 }
+ORACLES |= {"synapses_stored": ORACLES["coactivation_reinforce"], "spread_stored": ORACLES["spread_activation"]}
