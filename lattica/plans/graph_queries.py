@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import communities as K
 from ..operators import graph as G
+from ..operators import paths as P
 from ..sources.tables import table
 
 
@@ -114,6 +115,14 @@ def modularity_communities(spark, d):
     return K.communities(e)
 
 
+def betweenness_exchanged(spark, d):
+    """Nations, brands and suppliers' nations between one another, closer the more they trade, by messages between blocks."""
+    li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    rows = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    e = rows.groupBy(F.concat(F.lit("n"), "c_nationkey").alias("source"), F.col("p_brand").alias("target")).agg(F.count("*").cast("double").alias("weight"))
+    return P.betweenness(e.withColumn("relation", F.lit("calls"))).select("node", F.round("betweenness", 6).alias("betweenness"))
+
+
 def stable_communities(spark, d):
     """Customers dealt anew, by nation and balance: which of the communities are the nations of before."""
     c = table(spark, d, "customer")
@@ -122,7 +131,7 @@ def stable_communities(spark, d):
     return K.stable_ids(old, new)
 
 
-_F = (modularity_communities, stable_communities, structural_views, structural_neighbors, structural_recall, blast_radius, cohesion_outliers, drift_intervals, relevance_spans, peer_groups, graph_degrees, ir_validation, betweenness, gap_candidates, louvain, label_propagation, importer_closure)
+_F = (modularity_communities, betweenness_exchanged, stable_communities, structural_views, structural_neighbors, structural_recall, blast_radius, cohesion_outliers, drift_intervals, relevance_spans, peer_groups, graph_degrees, ir_validation, betweenness, gap_candidates, louvain, label_propagation, importer_closure)
 QUERIES = {f.__name__: f for f in _F}
 
 _L = """bought AS (SELECT DISTINCT o_custkey, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
