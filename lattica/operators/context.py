@@ -15,19 +15,9 @@ from . import nodes as N
 
 
 def boost(hits: DataFrame, energy: DataFrame, factor: float = C.SYNAPSE_BOOST, seeds: int = C.SYNAPSE_SEEDS, pull: int = C.PULL_IN_MAX, least: float = C.PULL_IN_ENERGY) -> DataFrame:
-    """(id, rank, score, pulled): hits (id, score) lifted by energy (id, energy), and strong absent ids in place of the tail.
-
-    The first ``seeds`` hits aren't lifted. At most ``pull`` absent ids of at least that energy come in, with
-    factor times energy as their score, for as many of the last hits; the first hit always stays.
-    """
-    order = Window.orderBy(F.desc("score"), "id")
-    ranked = hits.withColumn("nth", F.row_number().over(order))
-    lifted = ranked.join(energy, "id", "left").withColumn("score", F.col("score") + F.when(F.col("nth") <= seeds, 0.0).otherwise(factor * F.coalesce("energy", F.lit(0.0))))
-    absent = energy.where(F.col("energy") >= least).join(F.broadcast(hits.select("id")), "id", "left_anti").select("id", (factor * F.col("energy")).alias("score")).orderBy(F.desc("score"), "id").limit(pull)
-    counts = absent.agg(F.count("*").alias("m")).crossJoin(hits.agg(F.count("*").alias("n")))
-    kept = lifted.withColumn("nth", F.row_number().over(order)).crossJoin(F.broadcast(counts)).where(F.col("nth") <= F.greatest(F.lit(1), F.col("n") - F.col("m")))
-    rows = kept.select("id", "score", F.lit(False).alias("pulled")).unionByName(absent.select("id", "score", F.lit(True).alias("pulled")))
-    return rows.withColumn("rank", F.row_number().over(order))
+    """(id, rank, score, pulled): ``lifted`` for one question, of hits (id, score) and energy (id, energy): absent ids follow the hits that stay."""
+    ranked = hits.select(F.lit(0).alias("query_id"), "id", "score", F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("rank"))
+    return lifted(ranked, energy.select(F.lit(0).alias("query_id"), "id", "energy"), factor, pull, least, seeds).select("id", "rank", "score", "pulled")
 
 
 def budget(queries: DataFrame) -> DataFrame:

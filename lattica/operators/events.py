@@ -101,11 +101,11 @@ ZERO = "0" * 64
 RUNS_TOGETHER = 64
 
 
-def chain_broken(audit: DataFrame, digest: Column, buckets: int = 256) -> DataFrame:
+def chain_broken(audit: DataFrame, digest: Column, buckets: int = 256, first: str = ZERO) -> DataFrame:
     """The first line (bad_line) of audit (line_no, sha256, ...) whose hash isn't ``digest`` of prev and the line; no row if none.
 
     ``digest`` may use the column prev, the hash stored in the line before in order of line_no, whatever numbers are
-    missing (zeros at first, and after a line without a hash). Such lines, from before the chain, aren't checked. Ranges
+    missing (``first`` at first, and after a line without a hash). Such lines, from before the chain, aren't checked. Ranges
     of line_no look at the last line of the one before, so the log isn't sorted in one task.
     """
     low, high = audit.agg(F.min("line_no"), F.max("line_no")).first()
@@ -114,7 +114,7 @@ def chain_broken(audit: DataFrame, digest: Column, buckets: int = 256) -> DataFr
     ends = rows.groupBy("_b").agg(F.max_by(F.coalesce("sha256", F.lit("")), "line_no").alias("_last"))
     ends = ends.withColumn("_end", F.lag("_last").over(Window.orderBy("_b"))).select("_b", "_end")  # at most ``buckets`` rows
     before = F.lag(F.coalesce("sha256", F.lit(""))).over(Window.partitionBy("_b").orderBy("line_no"))
-    linked = rows.withColumn("prev", before).join(F.broadcast(ends), "_b").withColumn("prev", F.coalesce(F.nullif(F.coalesce("prev", "_end"), F.lit("")), F.lit(ZERO)))
+    linked = rows.withColumn("prev", before).join(F.broadcast(ends), "_b").withColumn("prev", F.coalesce(F.nullif(F.coalesce("prev", "_end"), F.lit("")), F.lit(first)))
     return linked.where((F.coalesce("sha256", F.lit("")) != "") & (F.col("sha256") != digest)).agg(F.min("line_no").alias("bad_line")).where("bad_line is not null")
 
 

@@ -65,10 +65,29 @@ def rotated(metrics: DataFrame, now: float, days: int = METRIC_DAYS, most_bytes:
 
 def canonical(prev: str = "prev") -> Column:
     """The text of an audit event that is hashed: the hash before it and its fields as JSON, by name, without blanks."""
-    text = F.concat(F.lit("{"), *[x for i, f in enumerate(AUDIT_FIELDS) for x in (F.lit(f'{"," if i else ""}"{f}":'), F.coalesce(F.col(f), F.lit("{}")) if f == "details" else _quoted(F.coalesce(F.col(f), F.lit(""))))], F.lit("}"))
+    value = lambda f: _escaped(F.coalesce(F.col(f), F.lit("{}")), False) if f == "details" else F.concat(F.lit('"'), _escaped(F.coalesce(F.col(f), F.lit("")), True), F.lit('"'))
+    text = F.concat(F.lit("{"), *[x for i, f in enumerate(AUDIT_FIELDS) for x in (F.lit(f'{"," if i else ""}"{f}":'), value(f))], F.lit("}"))
     return F.concat(F.col(prev), text)
 
 
+def _escaped(text: Column, marks: bool) -> Column:
+    """``text`` with characters beyond plain ASCII as \\u and four hexadecimal digits of each UTF-16 unit; with ``marks`` also quotes, backslashes and controls as JSON escapes them."""
+    digits = F.lower(F.hex(F.encode(text, "UTF-16BE")))
+    units = F.transform(F.sequence(F.lit(0), (F.length(digits) / 4 - 1).cast("int")), lambda i: F.substring(digits, i * 4 + 1, F.lit(4)))
+    named = {"0022": '\\"', "005c": "\\\\", "000a": "\\n", "000d": "\\r", "0009": "\\t", "0008": "\\b", "000c": "\\f"}
+
+    def one(u: Column) -> Column:
+        plain = F.char(F.conv(u, 16, 10).cast("bigint"))
+        long = F.concat(F.lit("\\u"), u)
+        if not marks:
+            return F.when(u > "007e", long).otherwise(plain)
+        short = F.element_at(F.create_map(*[F.lit(x) for kv in named.items() for x in kv]), u)
+        return F.when((u < "0020") | (u > "007e") | u.isin("0022", "005c"), F.coalesce(short, long)).otherwise(plain)
+
+    odd = text.rlike(r'[^ -~]|["\\\\]' if marks else "[^\\x00-~]")
+    return F.when(odd, F.array_join(F.transform(units, one), "")).otherwise(text)
+
+
 def _quoted(text: Column) -> Column:
     """A string as JSON writes it."""
     wrapped = F.to_json(F.struct(text.alias("v")))

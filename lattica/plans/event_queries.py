@@ -200,8 +200,8 @@ SELECT a.id, CASE WHEN s >= 0.95 THEN 'merge' WHEN s >= 0.85 THEN 'review' ELSE
     "synapse_boost": f"""WITH {RQ._bm25()}, en AS (SELECT doc_id AS id, 1.0::DOUBLE / (doc_id + 1) AS energy FROM documents),
 b AS (SELECT id, score + CASE WHEN rank <= 3 THEN 0 ELSE 0.3::DOUBLE * coalesce(energy, 0) END AS s FROM bm LEFT JOIN en USING (id)), o AS (SELECT *, row_number() OVER (ORDER BY s DESC, id) AS r FROM b),
 p AS (SELECT id, 0.3::DOUBLE * energy AS s FROM en WHERE energy >= 0.15 AND id NOT IN (SELECT id FROM bm) ORDER BY s DESC, id LIMIT 2),
-u AS (SELECT id, s, false AS pulled FROM o WHERE r <= greatest(1, 10 - (SELECT count(*) FROM p)) UNION ALL SELECT id, s, true FROM p)
-SELECT id AS doc_id, row_number() OVER (ORDER BY s DESC, id)::INT AS rank, round(s, 6) AS score, pulled FROM u""",
+u AS (SELECT id, s, r, false AS pulled FROM o WHERE r <= 10 - (SELECT count(*) FROM p) UNION ALL SELECT id, s, 100 + row_number() OVER (ORDER BY s DESC, id), true FROM p)
+SELECT id AS doc_id, row_number() OVER (ORDER BY r)::INT AS rank, round(s, 6) AS score, pulled FROM u""",
     "context_layers": "SELECT doc_id, (750 + CASE WHEN doc_id % 3 = 0 THEN 800 ELSE 0 END + least(1000, length(text) // 4))::BIGINT AS total_tokens, round(50000 / (750 + CASE WHEN doc_id % 3 = 0 THEN 800 ELSE 0 END + least(1000, length(text) // 4)), 6) AS reduction FROM documents",
     "compress_lines": r"""WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 k AS (SELECT doc_id, len(l) AS n, list_distinct(list_transform(list_filter(list_zip(l, range(len(l))), lambda x: regexp_matches(x[1], '(?i)error|fail|traceback|exception|panic|fatal|warning| passed|^===+|^---+') OR x[2] >= len(l) - 3), lambda x: x[2])) AS p, l FROM l)

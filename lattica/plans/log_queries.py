@@ -300,7 +300,7 @@ _F = (file_activity, subscriptions, audit_chain, audit_chain_altered, audit_cont
 QUERIES = {f.__name__: f for f in _F}
 
 # the chain is made by a recursion over the lines in order, a line a step
-_CHAIN = """tr AS (SELECT row_number() OVER (ORDER BY event_id) AS n, event_id + event_id // 13 AS line_no, '{"action":"' || event_type || '","actor":"u\\"' || user_id || '","actor_role":"","category":"access","details":{"k":' || event_id || '},"ip_address":"","status":"success","target":"é/' || event_id || '","timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '"}' AS t FROM events),
+_CHAIN = """tr AS (SELECT row_number() OVER (ORDER BY event_id) AS n, event_id + event_id // 13 AS line_no, '{"action":"' || event_type || '","actor":"u\\"' || user_id || '","actor_role":"","category":"access","details":{"k":' || event_id || '},"ip_address":"","status":"success","target":"\\u00e9/' || event_id || '","timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '"}' AS t FROM events),
 ch AS (SELECT 0::BIGINT AS n, NULL::BIGINT AS line_no, NULL::VARCHAR AS prev_sha256, repeat('0', 64) AS sha256 UNION ALL SELECT tr.n, tr.line_no, ch.sha256, sha256(ch.sha256 || tr.t) FROM ch JOIN tr ON tr.n = ch.n + 1)"""
 _ANS = "an AS (SELECT conv_id || '-' || turn AS id, CASE WHEN turn % 2 = 0 THEN 'It is not the thing we use sqlite. ' ELSE 'We use postgres and jwt. ' END || text AS a, turn % 2 = 0 AS e FROM conversations WHERE text IS NOT NULL), al AS (SELECT id, lower(a) AS a, e FROM an)"
 # facts: "the thing", "uses sqlite", "oauth tokens"

@@ -101,7 +101,7 @@ def test_drift_names_the_dissenter(spark):
 
 def test_chain_over_ranges(spark, monkeypatch):
     monkeypatch.setattr(logs, "CHAIN_RANGE", 7)
-    rows = [(i + i // 5, "c", f"a{i}", "me", "ok", 't"x', '{"k":1}', "", "", f"2024-01-{i % 28 + 1:02d}") for i in range(40)]
+    rows = [(i + i // 5, "c", f"a{i}", "mé 👩\x7f\n", "ok", 't"\\x', '{"k":1}', "", "", f"2024-01-{i % 28 + 1:02d}") for i in range(40)]
     e = spark.createDataFrame(rows, "line_no long, category string, action string, actor string, status string, target string, details string, actor_role string, ip_address string, timestamp string").repartition(4)
     from hashlib import sha256
 

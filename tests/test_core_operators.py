@@ -185,6 +185,9 @@ def test_boost_replaces_the_tail(spark):
     energy = spark.createDataFrame([(4, 0.9), (77, 0.8), (78, 0.1)], "id long, energy double")
     got = {r.id: r["rank"] for r in context.boost(hits, energy).collect()}
     assert set(got) == {0, 1, 2, 4, 77} and got[0] == 1 and 3 not in got
+    strong = spark.createDataFrame([(77, 9.0), (78, 8.0)], "id long, energy double")
+    assert [(r.id, r.pulled) for r in context.boost(hits, strong).orderBy("rank").collect()] == [(0, False), (1, False), (2, False), (77, True), (78, True)]
+    assert [r.id for r in context.boost(hits.limit(1), strong).collect()] == [0]
 
 
 def test_graph_reader_and_splice(spark, tmp_path):
