@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..base import cut
 from . import evaluation
 
 # Name, least, most and default of the tuned parameters; those with whole bounds and default are whole numbers.
@@ -67,6 +68,33 @@ def scored(runs: DataFrame) -> DataFrame:
     return per.select("candidate", "quality", "efficiency", evaluation.fitness(F.col("quality"), F.col("health"), F.col("efficiency")).alias("fitness"))
 
 
+def wide(candidates: DataFrame) -> DataFrame:
+    """candidates (candidate, name, value) as one row each, a column a parameter; what a candidate doesn't name has its default."""
+    return candidates.groupBy("candidate").agg(*[F.coalesce(F.max(F.when(F.col("name") == n, F.col("value"))), F.lit(float(d))).alias(n) for n, _, _, d in PARAMETERS])
+
+
+def sweep(hits: DataFrame, energy: DataFrame, relevant: DataFrame, costs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Runs (candidate, query_id, hit, health, tokens, baseline_tokens) of all ``candidates`` over the same evidence.
+
+    Evidence is made once: hits (query_id, id, score, rank), what the memory adds to them (query_id, id, energy), which are
+    relevant (query_id, id) and what each costs (id, tokens). A candidate lifts the hits beyond its first SYNAPSE_SEED_K by
+    SYNAPSE_BOOST_WEIGHT times their energy, and takes the best, ties by id, as long as they fit in L3_MAX_TOKENS, the first
+    in any case. Found: a relevant one is among those taken. The baseline takes all hits. Questions without hits give no run.
+    """
+    rows = hits.select("query_id", "id", "score", "rank").join(energy.select("query_id", "id", "energy"), ["query_id", "id"], "left")
+    rows = rows.join(relevant.select("query_id", "id").distinct().withColumn("good", F.lit(1)), ["query_id", "id"], "left").join(costs.select("id", "tokens"), "id")
+    evidence = cut(rows.select("query_id", "id", "score", "rank", F.coalesce("energy", F.lit(0.0)).alias("energy"), F.coalesce("good", F.lit(0)).alias("good"), "tokens"))
+    tried = wide(candidates).select("candidate", "SYNAPSE_SEED_K", "SYNAPSE_BOOST_WEIGHT", "L3_MAX_TOKENS")
+    each = evidence.crossJoin(F.broadcast(tried))  # every candidate is tried on all evidence: a row a candidate
+    lifted = F.col("score") + F.when(F.col("rank") > F.round("SYNAPSE_SEED_K"), F.col("SYNAPSE_BOOST_WEIGHT") * F.col("energy")).otherwise(0.0)
+    order = Window.partitionBy("candidate", "query_id").orderBy(F.desc(F.round(lifted, 9)), "id")
+    placed = each.withColumn("place", F.row_number().over(order)).withColumn("spent", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    taken = (F.col("place") == 1) | (F.col("spent") <= F.col("L3_MAX_TOKENS"))
+    return placed.groupBy("candidate", "query_id").agg(
+        F.max(F.when(taken, F.col("good")).otherwise(0)).alias("hit"), F.lit(1.0).alias("health"), F.sum(F.when(taken, F.col("tokens")).otherwise(0)).alias("tokens"), F.sum("tokens").alias("baseline_tokens")
+    )
+
+
 def generation(scores: DataFrame, hysteresis: float = 0.05) -> DataFrame:
     """One row (best, fitness, incumbent, decision): the fittest candidate, promoted over candidate 0 past the hysteresis."""
     row = scores.agg(F.max(F.struct("fitness", (-F.col("candidate")).alias("m"))).alias("b"), F.max(F.when(F.col("candidate") == 0, F.col("fitness"))).alias("incumbent"))

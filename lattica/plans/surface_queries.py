@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from ..operators import content as CN
 from ..operators import governance as GV
+from ..operators import retrieval as R
 from ..operators import tuning as TU
+from ..functions.text import estimated_tokens
 from ..sources.tables import table
+from .retrieval_queries import _TOKENS
 
 
 def rbac_check(spark, d):
@@ -45,12 +48,55 @@ def tuner_fitness(spark, d):
     return TU.scored(runs).select("candidate", F.round("quality", 6).alias("quality"), F.round("efficiency", 6).alias("efficiency"), F.round("fitness", 5).alias("fitness"))
 
 
+#: Questions that candidates are tried on, and how many hits of each are evidence.
+QUESTIONS, EVIDENCE = {0: ["thing", "that", "est"], 1: ["worthless", "the"], 2: ["und", "der"], 3: ["los", "que", "de"]}, 20
+
+
+def _tried(spark):
+    """The incumbent as 0, and all combinations of eleven weights, four numbers of seeds and three budgets."""
+    i, s, t = F.floor((F.col("id") - 1) / 12), F.floor((F.col("id") - 1) % 12 / 3) + 1, F.element_at(F.array(F.lit(500.0), F.lit(1000.0), F.lit(2000.0)), ((F.col("id") - 1) % 3 + 1).cast("int"))
+    named = F.array(*[F.struct(F.lit(n).alias("name"), v.cast("double").alias("value")) for n, v in (("SYNAPSE_BOOST_WEIGHT", i / 5), ("SYNAPSE_SEED_K", s), ("L3_MAX_TOKENS", t))])
+    default = F.array(F.struct(F.lit("SPREAD_DEPTH").alias("name"), F.lit(2.0).alias("value")))
+    return spark.range(133).select(F.col("id").alias("candidate"), F.explode(F.when(F.col("id") == 0, default).otherwise(named)).alias("p")).select("candidate", "p.*")
+
+
+def _sweep(spark, d):
+    docs = table(spark, d, "documents")
+    hits = R.bm25_many(docs, QUESTIONS, EVIDENCE)
+    energy = docs.select(F.explode(F.array(*map(F.lit, QUESTIONS))).alias("query_id"), F.col("doc_id").alias("id"), (1 / (1 + F.col("n_chars") % 7)).alias("energy"))
+    good = table(spark, d, "labels").where("quality = 1").select(F.explode(F.array(*map(F.lit, QUESTIONS))).alias("query_id"), F.col("doc_id").alias("id"))
+    return TU.sweep(hits, energy, good, docs.select(F.col("doc_id").alias("id"), estimated_tokens(F.col("text")).alias("tokens")), _tried(spark))
+
+
+def tuner_sweep(spark, d):
+    """Every candidate's quality, efficiency and fitness over the same hits of documents, judged by labels."""
+    return TU.scored(_sweep(spark, d)).select("candidate", F.round("quality", 6).alias("quality"), F.round("efficiency", 6).alias("efficiency"), F.round("fitness", 5).alias("fitness"))
+
+
 def tuner_generation(spark, d):
-    c = TU.candidates(spark, 50).groupBy("candidate").agg(F.sum("value").alias("v"))
-    return TU.generation(c.select("candidate", F.round(1 / (1 + F.abs(F.col("v") - 5.5)), 6).alias("fitness")))
+    """The fittest candidate of the sweep against the incumbent."""
+    return TU.generation(tuner_sweep(spark, d).select("candidate", "fitness"))
+
+
+def _sweep_sql() -> str:
+    def question(q: int, terms: list[str]) -> str:
+        part = " + ".join(f"ln((n - df{i} + 0.5) / (df{i} + 0.5) + 1) * tf{i} * 2.5 / (tf{i} + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))" for i in range(len(terms)))
+        tf = ", ".join(f"len(list_filter(t, lambda x: x = '{t}')) AS tf{i}" for i, t in enumerate(terms))
+        df = ", ".join(f"sum((tf{i} > 0)::INT) AS df{i}" for i in range(len(terms)))
+        return f"""c{q} AS (SELECT id, len(t) AS dl, {tf} FROM tk), s{q} AS (SELECT count(*) AS n, avg(dl) AS avgdl, {df} FROM c{q}),
+r{q} AS (SELECT {q} AS q, id, {part} AS raw FROM c{q}, s{q} WHERE {' + '.join(f'tf{i}' for i in range(len(terms)))} > 0 ORDER BY raw DESC, id LIMIT {EVIDENCE})"""
+
+    return f"""tk AS (SELECT doc_id AS id, {_TOKENS} AS t FROM documents), {', '.join(question(q, t) for q, t in QUESTIONS.items())},
+h AS ({' UNION ALL '.join(f'SELECT q, id, raw / max(raw) OVER () AS score, row_number() OVER (ORDER BY raw DESC, id) AS rank FROM r{q}' for q in QUESTIONS)}),
+ev AS (SELECT h.*, 1.0::DOUBLE / (1 + n_chars % 7) AS energy, length(coalesce(text, '')) // 4 AS tokens, (h.id IN (SELECT doc_id FROM labels WHERE quality = 1))::INT AS good FROM h JOIN documents d ON d.doc_id = h.id),
+ca AS (SELECT 0 AS c, 0.3::DOUBLE AS w, 3 AS k, 1000 AS l UNION ALL SELECT i, (i - 1) // 12 / 5.0::DOUBLE, (i - 1) % 12 // 3 + 1, [500, 1000, 2000][(i - 1) % 3 + 1] FROM range(1, 133) t(i)),
+pl AS (SELECT *, row_number() OVER o AS place, sum(tokens) OVER (o ROWS UNBOUNDED PRECEDING) AS spent FROM ev, ca WINDOW o AS (PARTITION BY c, q ORDER BY round(score + CASE WHEN rank > k THEN w * energy ELSE 0 END, 9) DESC, id)),
+rn AS (SELECT c, q, max(CASE WHEN place = 1 OR spent <= l THEN good ELSE 0 END) AS hit, sum(CASE WHEN place = 1 OR spent <= l THEN tokens ELSE 0 END) AS tokens, sum(tokens) AS whole FROM pl GROUP BY c, q),
+sc AS (SELECT c, avg(hit) AS quality, least(10.0::DOUBLE, sum(whole) / sum(tokens)) AS efficiency FROM rn GROUP BY c),
+sw AS (SELECT c AS candidate, round(quality, 6) AS quality, round(efficiency, 6) AS efficiency, CASE WHEN quality = 0 THEN 0 ELSE round(round(exp(0.5::DOUBLE * ln(quality) + 0.2::DOUBLE * ln(efficiency / 10)), 6), 5) END AS fitness FROM sc)"""
 
 
-_F = (rbac_check, endpoint_coverage, type_risks, content_nodes, summarize_documents, tuner_fitness, tuner_generation)
+_F = (rbac_check, endpoint_coverage, type_risks, content_nodes, summarize_documents, tuner_fitness, tuner_sweep, tuner_generation)
 QUERIES = {f.__name__: f for f in _F}
 ORACLES = {
     "rbac_check": """SELECT ['admin', 'reader', 'guest'][(user_id % 3 + 1)::INT] AS role, event_type AS tool, count(*) AS n, CASE WHEN user_id % 3 = 0 THEN count(*) WHEN user_id % 3 = 1 AND event_type IN ('view', 'click') THEN count(*) ELSE 0 END AS allowed
@@ -62,4 +108,7 @@ SELECT CASE WHEN live = 1 THEN 'live' WHEN sk = 1 THEN 'all_skipped' WHEN n > 0
 || chr(10) || 'Requirements:' || chr(10) || array_to_string(list_transform(string_split(p_type, ' '), lambda v: '  - ' || v), chr(10)) || CASE WHEN p_partkey % 3 > 0 THEN chr(10) || 'Tags: ' || p_brand ELSE '' END) AS text_md5 FROM part""",
     "tuner_fitness": """WITH p AS (SELECT user_id % 7 AS candidate, avg((event_type <> 'error')::INT) AS q, least(10.0, count(*) * 1000.0 / sum(user_id % 7 + 500)) AS e FROM events GROUP BY 1)
 SELECT candidate, round(q, 6) AS quality, round(e, 6) AS efficiency, round(exp(0.5 * ln(q) + 0.3 * ln(0.9) + 0.2 * ln(e / 10)), 5) AS fitness FROM p""",
+    "tuner_sweep": f"WITH {_sweep_sql()} SELECT candidate::BIGINT AS candidate, quality, efficiency, fitness FROM sw",
+    "tuner_generation": f"""WITH {_sweep_sql()}, b AS (SELECT candidate, fitness FROM sw ORDER BY fitness DESC, candidate LIMIT 1), i AS (SELECT fitness AS incumbent FROM sw WHERE candidate = 0)
+SELECT candidate::BIGINT AS best, fitness, incumbent, CASE WHEN fitness >= incumbent + 0.05 THEN 'promote' ELSE 'hold' END AS decision FROM b, i""",
 }
