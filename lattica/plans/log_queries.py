@@ -300,7 +300,7 @@ _F = (file_activity, subscriptions, audit_chain, audit_chain_altered, audit_cont
 QUERIES = {f.__name__: f for f in _F}
 
 # the chain is made by a recursion over the lines in order, a line a step
-_CHAIN = """tr AS (SELECT row_number() OVER (ORDER BY event_id) AS n, event_id + event_id // 13 AS line_no, '{"action":"' || event_type || '","actor":"u\\"' || user_id || '","actor_role":"","category":"access","details":{"k":' || event_id || '},"ip_address":"","status":"success","target":"\\u00e9/' || event_id || '","timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '"}' AS t FROM events),
+_CHAIN = """tr AS MATERIALIZED (SELECT row_number() OVER (ORDER BY event_id) AS n, event_id + event_id // 13 AS line_no, '{"action":"' || event_type || '","actor":"u\\"' || user_id || '","actor_role":"","category":"access","details":{"k":' || event_id || '},"ip_address":"","status":"success","target":"\\u00e9/' || event_id || '","timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '"}' AS t FROM events),
 ch AS (SELECT 0::BIGINT AS n, NULL::BIGINT AS line_no, NULL::VARCHAR AS prev_sha256, repeat('0', 64) AS sha256 UNION ALL SELECT tr.n, tr.line_no, ch.sha256, sha256(ch.sha256 || tr.t) FROM ch JOIN tr ON tr.n = ch.n + 1)"""
 _ANS = "an AS (SELECT conv_id || '-' || turn AS id, CASE WHEN turn % 2 = 0 THEN 'It is not the thing we use sqlite. ' ELSE 'We use postgres and jwt. ' END || text AS a, turn % 2 = 0 AS e FROM conversations WHERE text IS NOT NULL), al AS (SELECT id, lower(a) AS a, e FROM an)"
 # facts: "the thing", "uses sqlite", "oauth tokens"
@@ -315,7 +315,7 @@ ORACLES = {
     "audit_chain": f"WITH RECURSIVE {_CHAIN} SELECT line_no, prev_sha256, sha256 FROM ch WHERE n > 0",
     "audit_chain_altered": "WITH e AS (SELECT event_id + event_id // 13 AS l FROM events WHERE event_id >= 777 ORDER BY event_id LIMIT 2) SELECT 'altered' AS form, min(l) AS bad_line FROM e UNION ALL SELECT 'left out', max(l) FROM e UNION ALL SELECT 'swapped', min(l) FROM e",
     "audit_controls": "SELECT count(*) AS events, count(*) AS AU, count(*) FILTER (event_type = 'click') AS AC, count(*) FILTER (event_type = 'view') AS SI FROM events",
-    "audit_rotation": f"WITH RECURSIVE {_CHAIN} SELECT a AS archive, a = 'a1' AS due, true AS rotate, sha256 AS last_sha256 FROM (SELECT unnest(['a1', 'a2']) AS a), (SELECT sha256 FROM ch ORDER BY n DESC LIMIT 1)",
+    "audit_rotation": f"WITH RECURSIVE {_CHAIN}, la AS MATERIALIZED (SELECT arg_max(sha256, n) AS last_sha256 FROM ch) SELECT a AS archive, a = 'a1' AS due, true AS rotate, last_sha256 FROM (SELECT unnest(['a1', 'a2']) AS a), la",
     "query_events": "WITH e AS (SELECT event_type, (props::JSON->>'$.k')::INT AS k FROM events) SELECT CASE WHEN event_type = 'signup' THEN 'wakeup' ELSE 'query' END AS event_type, count(*) AS n, sum(k * 10)::BIGINT AS tokens, sum(k)::BIGINT AS hits, round(sum(round(1000.0::DOUBLE / (k + 1), 4)), 2) AS reduction FROM e GROUP BY 1",
     "query_records": "WITH e AS (SELECT (props::JSON->>'$.k')::INT AS k FROM events WHERE event_type <> 'signup') SELECT 'q' || k AS question, count(*) AS n, least(12, k % 20 + 1)::INT AS hits, round(count(*) * list_sum(list_transform(range(1, least(12, k % 20 + 1) + 1), lambda i: round(1.0::DOUBLE / (i + 1), 3))), 4) AS score FROM e GROUP BY k",
     "metric_events": "SELECT 'query' AS event, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round(sum(round(value / 3, 2)), 2) AS latency_ms, round(sum(round(value / 700, 4)), 4) AS reuse FROM events GROUP BY 2",
