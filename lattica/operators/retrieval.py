@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
@@ -94,12 +95,22 @@ def bm25_search(docs: DataFrame, query: list[str], k: int = 10, id_col: str = "d
     return best.withColumn("score", F.col("raw") / F.max("raw").over(Window.partitionBy()))
 
 
+def _token_idf(tokens: DataFrame) -> DataFrame:
+    """(token, idf) of rows with token arrays (t): a document counts once for each token."""
+    n = tokens.agg(F.count("*").alias("n"))
+    df = tokens.select(F.explode(F.array_distinct("t")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    return df.crossJoin(F.broadcast(n)).select("token", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))  # one row
+
+
+def _token_weights(tokens: DataFrame, idf: DataFrame) -> DataFrame:
+    tf = tokens.select("id", F.explode("t").alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
+    return tf.join(idf, "token").select("id", "token", (F.col("tf") * F.col("idf")).alias("weight"), "idf")
+
+
 def sparse_weights(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, token, weight, idf): tf idf of every token of every document."""
-    tf = docs.select(F.col(id_col).alias("id"), F.explode(word_tokens(F.col(text_col))).alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
-    n = docs.agg(F.count("*").alias("n"))
-    idf = tf.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("token", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    return tf.join(idf, "token").select("id", "token", (F.col("tf") * F.col("idf")).alias("weight"), "idf")
+    tokens = docs.select(F.col(id_col).alias("id"), word_tokens(F.col(text_col)).alias("t"))
+    return _token_weights(tokens, _token_idf(tokens))
 
 
 def sparse_expand(weights: DataFrame, top_tokens: int = C.SPLADE_TOP, keep: int = C.SPLADE_KEEP, spread: float = C.SPLADE_SPREAD) -> DataFrame:
@@ -117,11 +128,14 @@ def sparse_expand(weights: DataFrame, top_tokens: int = C.SPLADE_TOP, keep: int
 
 def sparse_search(docs: DataFrame, query: str, k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, rank, score): cosine of expanded documents and the query's idf weights; rows without a match score 0."""
-    weights = sparse_weights(docs, id_col, text_col)
-    wanted = docs.sparkSession.range(1).select(F.explode(F.array_distinct(word_tokens(F.lit(query)))).alias("token"))
-    idf = weights.join(F.broadcast(wanted), "token", "left_semi").groupBy("token").agg(F.first("idf").alias("idf"))
-    q = wanted.join(idf, "token", "left").select("token", F.coalesce("idf", F.lit(1.0)).alias("q"))
+    tokens = docs.select(F.col(id_col).alias("id"), word_tokens(F.col(text_col)).alias("t"))
+    idf = cut(_token_idf(tokens))
+    terms = sorted(set(re.findall("[a-z0-9]+", query.lower())))
+    wanted = docs.sparkSession.createDataFrame([(t,) for t in terms], "token string")
+    q = wanted.join(idf.where(F.col("token").isin(terms)), "token", "left").select("token", F.coalesce("idf", F.lit(1.0)).alias("q"))
     q = q.withColumn("q", F.col("q") / F.sqrt(F.sum(F.col("q") * F.col("q")).over(Window.partitionBy())))
+    # a document without a token of the query scores 0 however it is expanded
+    weights = _token_weights(tokens.where(F.arrays_overlap("t", F.array(*map(F.lit, terms)))) if terms else tokens.where("false"), idf)
     hits = sparse_expand(weights).join(F.broadcast(q), "token").groupBy("id").agg(F.sum(F.col("weight") * F.col("q")).alias("score"))
     rows = docs.select(F.col(id_col).alias("id")).join(hits, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
     return top(rows, "score", k)
