@@ -70,3 +70,15 @@ def test_pairs_of_large_batches(spark, monkeypatch):
         got = [(r.batch, r.node, r.other) for r in memory._pairs(nodes).collect()]
         assert len(got) == len(set(got)) and set(got) == want
         assert memory._pairs(nodes).columns == ["batch", "node", "ts", "namespace", "other"]
+
+
+def test_pairs_are_dealt_to_many_tasks(spark, monkeypatch):
+    nodes = spark.createDataFrame([("big", f"n{k:02d}", 1.0, "p") for k in range(40)], "batch string, node string, ts double, namespace string")
+    monkeypatch.setattr(memory, "BLOCK_NODES", 5)
+    tasks = {r.t for r in memory._pairs(nodes).select(F.spark_partition_id().alias("t")).distinct().collect()}
+    assert len(tasks) > 10  # one batch's blocks were one task's before
+    rows = spark.createDataFrame([(k % 300, f"n{k % 7}", 1.0, "p") for k in range(2000)], "batch bigint, node string, ts double, namespace string")
+    for spread in (False, True):
+        found = memory._pairs(rows, spread)
+        assert len({r.t for r in found.select(F.spark_partition_id().alias("t")).distinct().collect()}) > 50  # small partitions aren't put together
+        assert found.count() == 200 * 21 + 100 * 15
