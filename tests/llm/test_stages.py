@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lattica.llm import common
+from lattica.llm import common, near, simhash
 
 LONG = "lorem ipsum dolor sit amet " * 3000
 LINE = "a line that is long enough to be compared with others"
@@ -51,3 +51,16 @@ def test_run(spark, folder):
     got = corpus_pipeline.run(spark, folder)
     assert set(ids(got.collect())) <= {str(r[0]) for r in ROWS} and "1" not in ids(got.collect())
     assert common.shared_folder(spark)
+
+
+def test_near_dedup_links_fingerprints(spark, folder):
+    """Texts within four bits of SimHash are one, though their shingle sets are less alike than 0.8, also over chains with those."""
+    words = [f"w{k % 19}" for k in range(400)]  # long repeats: few distinct shingles, which many positions vote for
+    base, odd = " ".join(words), " ".join([*words, *[f"x{k}" for k in range(6)]])
+    far = " ".join(f"y{k}" for k in range(60))
+    fps = [simhash.simhash(t) for t in (base, odd, far)]
+    sets = [set(near.shingle_set(t).tolist()) for t in (base, odd)]
+    assert (fps[0] ^ fps[1]).bit_count() <= 4 < (fps[0] ^ fps[2]).bit_count() and len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.8
+    docs = spark.createDataFrame([(3, base, "en", "s", 1), (2, odd, "en", "s", 1), (5, far, "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert ids(near.keep_one(docs).collect()) == ["2", "3", "5"]
+    assert ids(corpus_pipeline.near_dedup(spark, docs, folder).collect()) == ["2", "5"]
