@@ -512,3 +512,9 @@ def test_surrogates_of_many_surnames(spark):
     assert len(new) == len(names) and not new & {t for _, t in rows}
     mail = {got[i + len(names)] for i in range(36)}
     assert len(mail) == 36 and got[-1] != "password = ______"
+
+
+def test_spotsigs_prefixes_hold_rare_signatures_first(spark):
+    sets = spark.createDataFrame([(i, [1, 2, 100 + i, 200 + i]) for i in range(20)], "id long, sig array<long>")
+    order = sets.select("id", spotsigs._rare_first(sets).alias("o")).collect()
+    assert all(r.o == [100 + r.id, 200 + r.id, 1, 2] for r in order)  # by number before: 1 and 2 made all pairs meet
