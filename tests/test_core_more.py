@@ -3,6 +3,8 @@
 import itertools
 import json
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -147,6 +149,44 @@ def test_seeds_from_documents(spark):
     assert got == {("doc1", "m_ledger_export_x"): 0.25, ("doc2", "inv"): 0.40, ("card_slot", "doc3"): 0.20, ("doc1", "doc2"): 0.20}
 
 
+def test_seeds_of_classes_equal_those_of_pairs(spark):
+    rng, names, words = random.Random(3), ["ledger", "export", "card", "slot", "pay", "flow"], ["ledger", "export", "card", "pay", "flow", "zz"]
+    some = lambda pool, most: [rng.choice(pool) for _ in range(rng.randint(0, most))]
+    docs = [(f"d{i}", rng.choice(["", "Memo"]), " ".join(some(["Pay", "flow", "x!", "card"], 3)), " ".join(some(words, 5)), [f"T{rng.randint(0, 40)}", f"t{rng.randint(0, 40)}"]) for i in range(60)]
+    nodes = [("_".join([f"n{i}", *some(names, 3)]), rng.choice([" ".join(some(names, 2)) or "qq", f"own{i} pay"])) for i in range(80)]
+    got = feedback.seed_from_documents(spark.createDataFrame(docs, "id string, label string, title string, text string, tags array<string>"), spark.createDataFrame(nodes, "id string, label string"), 5.0).collect()
+    cells = lambda t: re.sub(r"[\W_]+", " ", t.lower()).split(" ")
+    ids = [n for n, _ in nodes] + [x[0] for x in docs]
+    common = {w for w in names if (k := sum(w in i.split("_") for i in ids)) >= 2 and k / len(ids) > feedback.COMMON_SHARE} | set(feedback.COMMON_WORDS)
+    want = {}
+    for d, label, title, text, _ in docs:
+        said = [w for w in f"{text} {label} {title}".lower().split() if len(w) >= 3 and w not in common]
+        for n, name in nodes:
+            need, own = {w for w in name.split() if len(w) >= 3 and w not in common}, [w for w in n.split("_") if w not in common]
+            w = 0.40 if need and need <= set(said) else 0.25 if set(zip(own, own[1:])) & set(zip(said, said[1:])) else 0.20 if set(own) & set(said) else None
+            if w:
+                want[tuple(sorted((n, d)))] = w
+    tags = {d: {t.lower() for t in ts} for d, *_, ts in docs}
+    rare = {t for ts in tags.values() for t in ts if sum(t in x for x in tags.values()) / len(docs) < feedback.TAG_SHARE}
+    for a, _, title, _, _ in docs:
+        for b, label, own, text, _ in docs:
+            told = " ".join(x for x in (text, label, own) if x)
+            if a != b and tags[a] & tags[b] & rare:
+                want[tuple(sorted((a, b)))] = 0.20
+            elif a != b and any(cells(title)) and f" {' '.join(cells(title))} " in f" {' '.join(cells(told))} ":
+                want[tuple(sorted((a, b)))] = 0.25
+    assert {(r.node_a, r.node_b): r.weight for r in got} == want and len(got) == len(want) and set(want.values()) == {0.20, 0.25, 0.40}
+
+
+def test_seeds_of_titles_that_begin_alike(spark):
+    """Titles that share their first word are not each compared to each text."""
+    k = F.col("id").cast("string")
+    d = spark.range(100_000).select(F.concat(F.lit("d"), k).alias("id"), F.lit("note").alias("label"), F.concat(F.lit("paper "), k).alias("title"), F.when(F.col("id") == 7, "see paper 12").otherwise("see paper").alias("text"), F.array(F.concat(F.lit("t"), k)).alias("tags"))
+    began = time.time()
+    got = feedback.seed_from_documents(d, spark.createDataFrame([("n", "none")], "id string, label string"), 5.0).collect()
+    assert [(r.node_a, r.node_b, r.weight) for r in got] == [("d12", "d7", 0.25)] and time.time() - began < 90
+
+
 def test_feedback_of_the_last_query(spark):
     s = spark.createDataFrame([("a", "b", "personal", 0.5, 1, 0.0, 0.0), ("b", "c", "personal", 0.2, 1, 0.0, 0.0)], SYN)
     hits = spark.createDataFrame([("a",), ("b",)], "node string")
