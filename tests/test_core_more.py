@@ -187,6 +187,12 @@ def test_seeds_of_titles_that_begin_alike(spark):
     assert [(r.node_a, r.node_b, r.weight) for r in got] == [("d12", "d7", 0.25)] and time.time() - began < 90
 
 
+def test_addresses_are_no_controls(spark):
+    text = "# 31.164.253.184 and 84.73.164.167\n21.155.164.165, 164.238.227.9, 3164.312, 164.3125\nHIPAA §164.312(a)(1), 45 CFR 164.308.\n"
+    got = {(r.framework, r.control, r.first) for r in parsing.compliance_notes(spark.createDataFrame([("a.md", text)], "path string, content string")).collect()}
+    assert got == {("HIPAA", "164.312(a)", 3), ("HIPAA", "164.308", 3)}
+
+
 def test_feedback_of_the_last_query(spark):
     s = spark.createDataFrame([("a", "b", "personal", 0.5, 1, 0.0, 0.0), ("b", "c", "personal", 0.2, 1, 0.0, 0.0)], SYN)
     hits = spark.createDataFrame([("a",), ("b",)], "node string")
