@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lattica.base import fresh_folder
 from lattica.operators import memory
 from lattica.operators.store import SynapseStore
+from lattica.plans import memory_queries
 
 NOW = 5_000_000.0
 
@@ -82,3 +83,15 @@ def test_pairs_are_dealt_to_many_tasks(spark, monkeypatch):
         found = memory._pairs(rows, spread)
         assert len({r.t for r in found.select(F.spark_partition_id().alias("t")).distinct().collect()}) > 50  # small partitions aren't put together
         assert found.count() == 200 * 21 + 100 * 15
+
+
+def test_more_pairs_take_more_tasks(spark, data, monkeypatch):
+    nodes = spark.range(4000).select((F.col("id") % 400).alias("batch"), F.concat(F.lit("n"), "id").alias("node"), F.lit(1.0).alias("ts"), F.lit("personal").alias("namespace"))
+    assert memory.pair_tasks(nodes) == memory.PAIR_TASKS  # 400 batches of 10 nodes and 45 pairs
+    monkeypatch.setattr(memory, "TASK_PAIRS", 100)
+    assert memory.pair_tasks(nodes) == 221
+    used = lambda rows: rows.select(F.spark_partition_id().alias("t")).distinct().count()
+    out = memory.reinforce(None, nodes)
+    assert out.count() == 18_000 and used(out) > memory.PAIR_TASKS
+    lines = memory_queries._activations(spark, data, 300)
+    assert lines.count() == spark.read.parquet(f"{data}/lineitem.parquet").count() and used(lines) > 200
