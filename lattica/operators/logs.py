@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from hashlib import sha256
 
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..base import cut
+from ..base import cut, delete, fresh_folder
 
 MAX_HITS, METRIC_DAYS, METRIC_BYTES, METRIC_LINES, AUDIT_DAYS = 12, 30, 10_000_000, 1000, 90
 MAX_MATCHES, OFFLOAD_CHARS, PREVIEW, OUTPUT_BYTES, LEAST_SIDE = 25, 15_000, 500, 2 * 1024 * 1024, 1024
@@ -17,8 +18,8 @@ MAX_MATCHES, OFFLOAD_CHARS, PREVIEW, OUTPUT_BYTES, LEAST_SIDE = 25, 15_000, 500,
 AUDIT_FIELDS = ["action", "actor", "actor_role", "category", "details", "ip_address", "status", "target", "timestamp"]
 PATH_FIELDS = ["source_file", "module", "path"]
 LEVELS = [("debug", r"^\s*(\[?\s*(DEBUG|TRACE|debug|trace)\b|\w*\s+debug:)"), ("info", r"^\s*(\[?\s*(INFO|info)\b|\w*\s+info:)"), ("warn", r"^\s*\[?\s*(WARN(ING)?|warn(ing)?)\b")]
-#: Lines of one range of a chain: ranges are hashed one after another, lines of a range in one task.
-CHAIN_RANGE = 50_000
+#: Lines of one range of a chain, which is hashed in one task, and ranges of a lap, whose last hashes are found in one task before.
+CHAIN_RANGE, LAP_RANGES = 50_000, 10
 
 
 def query_events(results: DataFrame, project: str, consent: bool = True) -> DataFrame:
@@ -97,33 +98,57 @@ def _quoted(text: Column) -> Column:
 def chained(events: DataFrame, last: str = "0" * 64) -> DataFrame:
     """``events`` (line_no, the audit fields) with prev_sha256 and sha256: each line's hash takes in the one before.
 
-    A chain can only be made in order: its ranges go through one task each, one after another, so a batch to append
-    is as large as one task can do; checking a chain needs no order.
+    A chain can only be made in order. Of more lines than a range, the hash before each range is found first: the texts are
+    stored once by laps of ranges, and each lap is hashed by one task that reads only its own lines, one lap after another.
+    Then all ranges are hashed at the same time. Checking a chain needs no order.
     """
-    rows = events.withColumn("prev", F.lit("")).withColumn("_text", canonical())
+    rows = events.where("line_no is not null").withColumn("prev", F.lit("")).withColumn("_text", canonical()).drop("prev")
     low, high = rows.agg(F.min("line_no"), F.max("line_no")).first()
+    if low is None:
+        return events.withColumn("prev_sha256", F.lit(None).cast("string")).withColumn("sha256", F.lit(None).cast("string"))
+    rows = rows.withColumn("_range", F.floor((F.col("line_no") - low) / CHAIN_RANGE).cast("long"))
+    starts = {0: last} if high - low < CHAIN_RANGE else _range_starts(rows.select("line_no", "_range", "_text"), last)
     kinds = ", ".join(f"`{c}` {k}" for c, k in events.dtypes) + ", prev_sha256 string, sha256 string"
 
-    def linker(start: str):
-        def link(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf, prev, now, before = pdf.sort_values("line_no"), start, [], []
-            for t in pdf["_text"]:
-                before.append(prev)
-                prev = sha256((prev + t).encode()).hexdigest()
-                now.append(prev)
-            return pdf.drop(columns=["_text", "prev"]).assign(prev_sha256=before, sha256=now)
-
-        return link
-
-    out, start = None, last
-    for a in range(low or 0, (high if high is not None else -1) + 1, CHAIN_RANGE):
-        part = rows.where(F.col("line_no").between(a, a + CHAIN_RANGE - 1)).groupBy().applyInPandas(linker(start), kinds)
-        if a + CHAIN_RANGE <= high:
-            part = cut(part)  # its last hash is asked for below, and its rows by the caller
-            end = part.orderBy(F.desc("line_no")).select("sha256").first()
-            start = end[0] if end else start
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else events.withColumn("prev_sha256", F.lit(None).cast("string")).withColumn("sha256", F.lit(None).cast("string"))
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["line_no", "_text"])
+        prev, now, before = starts[int(pdf["_range"].iloc[0])], [], []
+        for t in pdf["_text"]:
+            before.append(prev)
+            prev = sha256((prev + t).encode()).hexdigest()
+            now.append(prev)
+        return pdf.drop(columns=["_text", "_range"]).assign(prev_sha256=before, sha256=now)
+
+    out = rows.groupBy("_range").applyInPandas(link, kinds)
+    return out if len(starts) == 1 else cut(out)
+
+
+def _range_starts(rows: DataFrame, last: str) -> dict[int, str]:
+    """The hash before each range of rows (line_no, _range, _text): a lap of LAP_RANGES in one task, one after another."""
+    folder = fresh_folder(rows.sparkSession, "chain")
+    rows.withColumn("_lap", F.floor(F.col("_range") / LAP_RANGES)).repartition("_lap").sortWithinPartitions("_lap", "line_no", "_text").write.partitionBy("_lap").parquet(f"{folder}/rows")
+    stored = rows.sparkSession.read.parquet(f"{folder}/rows")
+
+    def hasher(prev: str):
+        def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            at, now = None, prev
+            for pdf in batches:
+                for r, t in zip(pdf["_range"], pdf["_text"]):
+                    if r != at and at is not None:
+                        yield pd.DataFrame({"r": [at], "sha": [now]})
+                    at, now = r, sha256((now + t).encode()).hexdigest()
+            if at is not None:
+                yield pd.DataFrame({"r": [at], "sha": [now]})
+
+        return ends
+
+    starts = {}
+    for (lap,) in sorted(stored.select("_lap").distinct().collect()):
+        one = stored.where(F.col("_lap") == lap).coalesce(1).sortWithinPartitions("line_no", "_text").select("_range", "_text")
+        for r, sha in sorted(one.mapInPandas(hasher(last), "r long, sha string").collect()):
+            starts[r], last = last, sha
+    delete(rows.sparkSession, folder)
+    return starts
 
 
 def archived(audit: DataFrame, archives: DataFrame, now: float, most_bytes: int = 100_000_000, days: int = AUDIT_DAYS) -> tuple[DataFrame, DataFrame]:

@@ -187,6 +187,27 @@ def test_seeds_of_titles_that_begin_alike(spark):
     assert [(r.node_a, r.node_b, r.weight) for r in got] == [("d12", "d7", 0.25)] and time.time() - began < 90
 
 
+def test_chain_over_laps(spark, monkeypatch):
+    """However many ranges a log has, its events are read three times: by bounds, for the laps, and to be hashed."""
+    fields = [F.concat(F.lit(f"é{f}"), F.col("id") % 7).alias(f) for f in logs.AUDIT_FIELDS if f != "details"]
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for x in batches:
+            reads.add(len(x))
+            yield x
+
+    e = spark.range(300).select((F.col("id") * 3 + 40).alias("line_no"), *fields, F.lit('{"k":1}').alias("details"))
+    e = e.mapInPandas(counted, e.schema)
+    want = [tuple(r) for r in logs.chained(e).orderBy("line_no").select("line_no", "prev_sha256", "sha256").collect()]
+    monkeypatch.setattr(logs, "CHAIN_RANGE", 50)
+    monkeypatch.setattr(logs, "LAP_RANGES", 4)
+    before = reads.value
+    got = [tuple(r) for r in logs.chained(e).orderBy("line_no").select("line_no", "prev_sha256", "sha256").collect()]
+    assert got == want and len(got) == 300 and reads.value - before <= 4 * 300
+    assert all(a[2] == b[1] for a, b in zip(got, got[1:]))
+
+
 def test_addresses_are_no_controls(spark):
     text = "# 31.164.253.184 and 84.73.164.167\n21.155.164.165, 164.238.227.9, 3164.312, 164.3125\nHIPAA §164.312(a)(1), 45 CFR 164.308.\n"
     got = {(r.framework, r.control, r.first) for r in parsing.compliance_notes(spark.createDataFrame([("a.md", text)], "path string, content string")).collect()}
