@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from lattica.base import fresh_folder
-from lattica.operators import memory
+from lattica.operators import feedback, memory
 from lattica.operators.store import SynapseStore
 from lattica.plans import memory_queries
 
@@ -95,3 +95,23 @@ def test_more_pairs_take_more_tasks(spark, data, monkeypatch):
     assert out.count() == 18_000 and used(out) > memory.PAIR_TASKS
     lines = memory_queries._activations(spark, data, 300)
     assert lines.count() == spark.read.parquet(f"{data}/lineitem.parquet").count() and used(lines) > 200
+
+
+def test_feedback_folds_in_the_tasks_told(spark, monkeypatch):
+    used = lambda rows: rows.select(F.spark_partition_id().alias("t")).distinct().count()
+    nodes = spark.range(4000).select((F.col("id") % 400).alias("batch"), F.concat(F.lit("n"), "id").alias("node"), F.lit(1.0).alias("ts"), F.lit("personal").alias("namespace"))
+    signals = spark.createDataFrame([("a", "n1", "positive", ["n2", "n401"]), ("b", "n0", "negative", None)], "id string, node string, signal string, context array<string>")
+    out = feedback.feedback(memory.reinforce(None, nodes, tasks=200), signals, 2.0, tasks=200)
+    assert used(out) > 150  # the fold was put together to a few tasks before
+    monkeypatch.setattr(feedback, "SENT_NODES", 0)  # nodes that don't go out: same rows
+    assert plain(feedback.feedback(memory.reinforce(None, nodes), signals, 2.0)) == plain(out)
+
+
+def test_decay_of_few_nodes_leaves_pairs_where_they_are(spark):
+    rows = [(f"n{k}", f"o{k}", "personal", 0.5, 1, 0.0, 0.0) for k in range(50)]
+    pairs = spark.createDataFrame(rows, "node_a string, node_b string, namespace string, weight double, activation_count long, last_activated double, created_at double").repartition(20, "node_a", "node_b")
+    named = spark.createDataFrame([("n1",), ("o2",), ("n1",)], "node string")
+    out = feedback.decay_nodes(pairs, named, 86400.0)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan  # all pairs were dealt anew by each end before
+    assert sorted(r.node_a for r in out.where("weight < 0.5").collect()) == ["n1", "n2"] and out.count() == 50
