@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lattica.base import fresh_folder
 from lattica.operators import feedback, memory
 from lattica.operators.store import SynapseStore
-from lattica.plans import memory_queries
+from lattica.plans import memory_queries, node_queries
 
 NOW = 5_000_000.0
 
@@ -115,3 +115,12 @@ def test_decay_of_few_nodes_leaves_pairs_where_they_are(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan  # all pairs were dealt anew by each end before
     assert sorted(r.node_a for r in out.where("weight < 0.5").collect()) == ["n1", "n2"] and out.count() == 50
+
+
+def test_more_lines_take_more_tasks_of_links(spark, data, monkeypatch):
+    links = lambda: node_queries.code_links(spark, data).where("relation = 'calls'")
+    used = lambda rows: rows.select(F.spark_partition_id().alias("t")).distinct().count()
+    few, before = used(links()), links()
+    monkeypatch.setattr(node_queries, "TASK_LINES", 100)
+    many = links()
+    assert used(many) > max(40, few) and many.exceptAll(before).count() == 0 and many.count() == before.count()
