@@ -33,7 +33,7 @@ SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 15
 #: Bounds of one block of the benchmark: items, and characters of their texts.
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16_000_000
 #: Distinct words of which a worker keeps the hashes.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 100_000
 _WORD = re.compile(r"[^\W_]+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)

@@ -31,7 +31,7 @@ MIN_CHARS = 20
 #: White space cut from both ends of a line before it is compared.
 BLANK = " \t\r"
 #: Lines and characters that one round of key generation holds; lines of which a task knows that it has seen them.
-ROUND_LINES, ROUND_CHARS, SEEN_LINES = 4_000, 1_000_000, 200_000
+ROUND_LINES, ROUND_CHARS, SEEN_LINES = 4_000, 250_000, 200_000
 #: Keys of longer lines are hashes of the substrings themselves, which take no arrays over all characters.
 LONG_LINE = 200_000
 _BASE = 0x9E3779B97F4A7C15 | 1

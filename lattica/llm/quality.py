@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +34,10 @@ REFERENCE = 64
 #: Labelled rows used at most: ids of the smallest hashes, sent to every task.
 MAX_LABELLED = 200_000
 SEED = 5
-KEPT_WORDS = 400_000
+#: Distinct words of which a worker keeps the hashes.
+KEPT_WORDS = 100_000
 #: Characters of which n-grams are held at once (or one document).
-ROUND_CHARS = 1_000_000
+ROUND_CHARS = 250_000
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
@@ -48,7 +49,7 @@ class _Hashes(dict):
         return h
 
 
-def rounds(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
+def rounds(texts: Iterable[str | None]) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) of runs of rows of about ROUND_CHARS characters."""
     first, held, chars = 0, [], 0
     for k, t in enumerate(texts):
@@ -87,7 +88,7 @@ def _counts(labelled: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]
         cache, raw, good = _Hashes(), np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for b in batches:
             marks = np.array([x == 1 for x in b.column(1).to_pylist()], bool)
-            for first, texts in rounds(b.column(0).to_pylist()):
+            for first, texts in rounds(t.as_py() for t in b.column(0)):
                 grams, text = buckets(texts, cache)
                 raw += np.bincount(grams, minlength=BUCKETS)
                 good += np.bincount(grams[marks[first + text]], minlength=BUCKETS)
@@ -172,7 +173,7 @@ def importance(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: i
             cache = _Hashes()
             for b in batches:
                 weight = np.zeros(b.num_rows)
-                for first, texts in rounds(b.column(0).to_pylist()):
+                for first, texts in rounds(t.as_py() for t in b.column(0)):
                     grams, text = buckets(texts, cache)
                     n = np.bincount(text, minlength=len(texts))
                     weight[first : first + len(texts)] = np.bincount(text, ratio.value[grams], len(texts)) / np.maximum(n, 1)

@@ -186,3 +186,25 @@ def test_tables_go_when_dropped(spark):
     assert os.path.isdir(path) and t.count() == 5
     common.drop(t)
     assert not os.path.exists(path)
+
+
+def test_workers_get_few_texts_at_once(spark):
+    """What ``cut`` writes reaches Python workers in small batches, and the session keeps its own setting."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    before = spark.conf.get(common.ARROW)
+    got = [r.n for r in common.cut(spark.range(0, 5_000, 1, 1).mapInArrow(run, "n bigint")).collect()]
+    assert sum(got) == 5_000 and max(got) <= common.ARROW_ROWS
+    assert spark.conf.get(common.ARROW) == before
+
+
+def test_kept_words_are_few_and_change_nothing():
+    for module in (quality, decontaminate):
+        cache = module._Hashes()
+        first = [cache[f"word{k}"] for k in range(150_000)]
+        assert len(cache) <= 100_000
+        assert first[:50] == [cache[f"word{k}"] for k in range(50)]
