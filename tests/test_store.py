@@ -124,3 +124,13 @@ def test_more_lines_take_more_tasks_of_links(spark, data, monkeypatch):
     monkeypatch.setattr(node_queries, "TASK_LINES", 100)
     many = links()
     assert used(many) > max(40, few) and many.exceptAll(before).count() == 0 and many.count() == before.count()
+
+
+def test_sums_that_differ_by_rounding_are_ties(spark):
+    """a is told 0.3 at once and b 0.1 and 0.2, whose sum is greater by its last bit only."""
+    rows = [(k, n, 1.0, "personal") for k, pair in enumerate((("a", "s3"), ("b", "s1"), ("b", "s2"))) for n in pair]
+    batches = spark.createDataFrame(rows, "batch bigint, node string, ts double, namespace string")
+    seeds = spark.createDataFrame([("s1", 1.0), ("s2", 2.0), ("s3", 3.0)], "node string, energy double").withColumn("energy", F.col("energy") / 10)
+    store = SynapseStore.create(spark, fresh_folder(spark, "store") + "/s", buckets=4).reinforce(batches)
+    for found in (store.spread(seeds, depth=1, k=1), memory.spread(memory.reinforce(None, batches), seeds, depth=1, k=1)):
+        assert [r.node for r in found.collect()] == ["a"]
