@@ -344,6 +344,15 @@ def test_spot_signatures(spark):
         assert math.isclose(r.near_edited, len(a & b) / len(a | b)) and math.isclose(r.near_next, len(a & c) / len(a | c))
 
 
+def test_next_document_over_many_ranges(spark, monkeypatch):
+    """Of more than 256 ranges the shares weren't told as constants, and the query failed."""
+    monkeypatch.setattr(spotsigs, "BUCKET_ROWS", 2)
+    ids = [7 * k - 900 for k in range(1_300)]
+    rows = spotsigs.next_to(spark.createDataFrame([(k, f"t{k}") for k in ids], "doc_id bigint, text string"))
+    want = {(a, f"t{a}", f"t{b}") for a, b in zip(ids, [*ids[1:], ids[0]])}
+    assert {tuple(r) for r in rows.select("_id", "_text", "_next_text").collect()} == want
+
+
 def test_spot_classes(spark):
     random.seed(6)
     rows = []
