@@ -134,3 +134,17 @@ def test_sums_that_differ_by_rounding_are_ties(spark):
     store = SynapseStore.create(spark, fresh_folder(spark, "store") + "/s", buckets=4).reinforce(batches)
     for found in (store.spread(seeds, depth=1, k=1), memory.spread(memory.reinforce(None, batches), seeds, depth=1, k=1)):
         assert [r.node for r in found.collect()] == ["a"]
+
+
+def test_large_batches_move_no_pair(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(b, f"n{rng.randrange(60)}", float(rng.randrange(9)), ns) for b, size in ((1, 50), (2, 40), (3, 1), (None, 5)) for ns in ("personal", None) for _ in range(size)] + [(2, None, 0.0, "shared")]
+    batches = spark.createDataFrame(rows, "batch bigint, node string, ts double, namespace string")
+    key = lambda rows: sorted(rows, key=str)
+    want = key(map(tuple, memory.reinforce(None, batches).collect()))
+    for size, few in ((1_000, 100), (7, 0)):
+        monkeypatch.setattr(memory, "BLOCK_NODES", size)
+        monkeypatch.setattr(memory, "FEW_KINDS", few)
+        out = memory.reinforce_large(batches)
+        assert key(map(tuple, out.collect())) == want
+        assert "hashpartitioning(node_a" not in out._jdf.queryExecution().executedPlan().toString()  # pairs were dealt by their nodes
