@@ -442,3 +442,22 @@ def test_large_baskets_make_each_pair_once(spark, monkeypatch):
     want = sorted(map(tuple, memory.reinforce(None, df).collect()))
     monkeypatch.setattr(memory, "BLOCK_NODES", 5)
     assert sorted(map(tuple, memory.reinforce(None, df).collect())) == want and len(want) == 23 * 22 // 2
+
+
+def test_seeds_are_counted_by_classes(spark, data, monkeypatch):
+    """Pairs of documents and nodes aren't made to be counted; counts are those of the pairs."""
+    rng = random.Random(3)
+    words = ["ring", "bolt", "red", "small", "paper"]
+    docs = [(f"d{k}", f"note {k % 3}", rng.choice(["red bolt", "small paper"]), " ".join(rng.choices(words, k=4)), rng.sample([f"t{i}" for i in range(12)], k=rng.randrange(3))) for k in range(40)]
+    nodes = [(f"n{k}_{rng.choice(words)}_{rng.choice(words)}", f"{rng.choice(words)} {rng.choice(words)}") for k in range(60)]
+    docs, nodes = spark.createDataFrame(docs, "id string, label string, title string, text string, tags array<string>"), spark.createDataFrame(nodes, "id string, label string")
+    want = feedback.seed_from_documents(docs, nodes, 5.0).groupBy("weight").agg(F.count("*").alias("n"), F.min("node_a").alias("first")).collect()
+    seeds, made = {}, feedback.seed_counts
+    monkeypatch.setattr(feedback, "seed_counts", lambda d, n: (seeds.update(d=d, n=n), made(d, n))[1])
+    monkeypatch.setattr(feedback, "_expanded", None)
+    assert len(want) == 3 and sorted(made(docs, nodes).collect()) == sorted(want)
+    from lattica.plans import node_queries
+
+    got = node_queries.document_seeds(spark, data).collect()
+    monkeypatch.undo()
+    assert sorted(got) == sorted(feedback.seed_from_documents(seeds["d"], seeds["n"], 5.0).groupBy("weight").agg(F.count("*").alias("n"), F.min("node_a").alias("first")).collect())
