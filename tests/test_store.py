@@ -148,3 +148,22 @@ def test_large_batches_move_no_pair(spark, monkeypatch):
         out = memory.reinforce_large(batches)
         assert key(map(tuple, out.collect())) == want
         assert "hashpartitioning(node_a" not in out._jdf.queryExecution().executedPlan().toString()  # pairs were dealt by their nodes
+
+
+def test_large_batches_are_written_in_turns(spark, monkeypatch):
+    rng = random.Random(8)
+    one, two = made(spark, rng, 60, 0), made(spark, rng, 60, 100)
+    want = plain(memory.reinforce(memory.reinforce(None, one), two))
+    written, write = [], SynapseStore._write
+
+    def seen(self, dealt, *more):
+        written.append(dealt._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        write(self, dealt, *more)
+
+    monkeypatch.setattr(SynapseStore, "_write", seen, raising=False)
+    for pairs in (5_000_000, 20):
+        monkeypatch.setattr("lattica.operators.store.TURN_PAIRS", pairs, raising=False)
+        written.clear()
+        store = SynapseStore.create(spark, fresh_folder(spark, "store") + "/s", buckets=8).reinforce(one).reinforce(two)
+        assert plain(store.synapses()) == want
+        assert set(written) == {1} and (len(written) == 2) == (pairs > 20)  # rows were moved twice, all at once
